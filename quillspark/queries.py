@@ -1,0 +1,25 @@
+"""Registered queries over synthesised markup, with SQL for each where SQL can say it."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_PUNCT = r""".?!,۔؟“”"'‘’،:;\(\)"""
+_OPEN = r""""'”“‘’\("""
+
+
+def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    cut = F.regexp_replace("text", f"(?<=^|\\s)([{_OPEN}][{_PUNCT}]*)", "\u0001$1")
+    cut = F.regexp_replace(cut, f"(?<![{_PUNCT}\u0001])([{_PUNCT}]+)", "$1\u0001")
+    parts = docs.select("doc_id", F.posexplode(F.filter(F.split(cut, "\u0001"), lambda x: F.trim(x) != "")).alias("ord", "section"))
+    return parts.select("doc_id", F.col("ord").cast("long").alias("ord"), "section")
+
+
+def queries() -> dict:
+    return {"t2_sections": sections}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
