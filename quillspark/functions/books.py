@@ -12,7 +12,7 @@ _NT = "MATMRKLUKJHNACTROM1CO2COGALEPHPHPCOL1TH2TH1TI2TITITPHMHEBJAS1PE2PE1JN2JN3
 _DC = "TOBJDTESGWISSIRBARLJES3YSUSBEL1MA2MA3MA4MA1ES2ESMANPS2ODAPSSEZA5EZ6EZDAGPS32BALBAJUBENO1MQ2MQ3MQREP4BALAO"
 _NS = "XXAXXBXXCXXDXXEXXFXXGFRTBAKOTHINTCNCGLOTDXNDX"
 CATEGORY = {codes[i : i + 3]: name for name, codes in (("OldTestament", _OT), ("NewTestament", _NT), ("Deuterocanon", _DC), ("NonScripture", _NS)) for i in range(0, len(codes), 3)}
-SINGLE_CHAPTER = frozenset("OBA PHM 2JN 3JN JUD LJE S3Y SUS BEL MAN PS2".split())
+SINGLE_CHAPTER = frozenset("OBA PHM 2JN 3JN JUD".split())
 _FORM = re.compile(r"[A-Z][A-Z0-9]{2}|[0-9][A-Z][0-9]|[0-9]{2}[A-Z]")
 
 
