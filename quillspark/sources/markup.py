@@ -70,7 +70,7 @@ def node_rows(doc: Document) -> list[dict]:
         elif kind == "char":
             in_char, depth, chars = True, depth + 1, [*chars, node.marker]
         elif kind == "note":
-            note, in_char = node.marker, False
+            note, in_char, block = node.marker, False, seq
         elif kind in ("sidebar", "periph", "table", "row"):
             para = note = None
         for i, c in enumerate(node.children):
@@ -115,7 +115,7 @@ def parser_diagnostics(parsed_docs: DataFrame) -> DataFrame:
 
 def scan(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(doc_id, text) of whole files; a byte order mark is dropped. ``doc_id`` is the path."""
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True)
     return files.select(F.input_file_name().alias("doc_id"), F.regexp_replace("value", "^﻿", "").alias("text"))
 
 

@@ -108,7 +108,7 @@ class Project:
             return spark.createDataFrame([], "doc_id string, text string, error string")
         encoding = self.settings.values.get("Encoding", "").strip()
         bad = f"code page {encoding}" if encoding and encoding != _UTF8 else None
-        rows = spark.read.option("wholetext", True).text([str(self.path / n) for n in there])
+        rows = spark.read.text([str(self.path / n) for n in there], wholetext=True)
         name = F.element_at(F.split(F.input_file_name(), "/"), -1)
         codes = F.create_map(*[F.lit(x) for n in there for x in (n, files[n])])
         text = F.regexp_replace("value", "^\ufeff", "") if bad is None else F.lit(None).cast("string")
