@@ -10,7 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import checks, diagnostics, index, text
+from .functions import replacements, usx, writers
+from .functions.citations import BookNames
+from .functions.parser import parse
+from .operators import checks, diagnostics, index, references, text
+from .plans import render
 from .sources import markup
 
 
@@ -185,6 +189,164 @@ SECTIONS = _SECTIONS.format(id="doc_id", of="documents")
 _RANKED = "(SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE lang IN ('en', 'de'))"
 WOVEN = "WITH s AS (SELECT lang, " + _SECTIONS.format(id="lang, r", of=_RANKED).removeprefix("SELECT lang, ") + ") SELECT a.doc_id AS pair, a.ord, trim(a.section) AS left, trim(b.section) AS right FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.ord = b.ord WHERE a.lang = 'en' AND b.lang = 'de'"
 
+
+def _term_documents(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Glossary documents of part names (one a brand) and word lists of supplier documents."""
+    part = _table(spark, sf_dir, "part")
+    entry = F.concat(F.lit("\\p \\k "), "p_name", F.lit("\\k* is"))
+    g = part.select("p_brand", "p_partkey", entry.alias("e")).groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "e"))).alias("es"))
+    glossary = g.select(F.col("p_brand").alias("doc_id"), F.concat(F.lit("\\id GLO\n"), F.array_join(F.transform("es", lambda x: x["e"]), "\n")).alias("text"))
+    size = part.groupBy("p_size").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name", "p_type"))).alias("ps"))
+    odd = lambda x: F.when(x["p_partkey"] % 3 == 0, F.concat(F.lit("\\w "), F.upper(x["p_name"]), F.lit("\\w*"))).when(x["p_partkey"] % 3 == 1, F.concat(F.lit("\\w x|lemma=\""), x["p_name"], F.lit("\"\\w*"))).otherwise(F.concat(F.lit("\\w "), x["p_type"], F.lit("\\w*")))
+    words = size.select(F.col("p_size").cast("string").alias("doc_id"), F.concat(F.lit("\\id GEN\n\\c 1\n\\p "), F.array_join(F.transform("ps", odd), "\n")).alias("text"))
+    return glossary, words
+
+
+def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document with the entry that resolves them, and how often."""
+    entries_docs, word_docs = _term_documents(spark, sf_dir)
+    entries = references.glossary(markup.nodes(markup.parsed(entries_docs)))
+    words = references.glossary_words(markup.nodes(markup.parsed(word_docs)), entries)
+    return words.groupBy(F.col("doc_id").cast("long").alias("doc"), "normal", "entry_doc").agg(F.count(F.lit(1)).alias("n"))
+
+
+GLOSSARY = """
+WITH e AS (SELECT lower(trim(p_name)) AS normal, p_brand, row_number() OVER (PARTITION BY lower(trim(p_name)) ORDER BY p_brand, p_partkey) AS k FROM part),
+w AS (SELECT p_size::BIGINT AS doc, lower(trim(CASE WHEN p_partkey % 3 < 2 THEN p_name ELSE p_type END)) AS normal FROM part)
+SELECT w.doc, w.normal, e.p_brand AS entry_doc, count(*)::BIGINT AS n FROM w LEFT JOIN e ON e.normal = w.normal AND e.k = 1 GROUP BY 1, 2, 3
+"""
+
+
+def glossary_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that repeat an earlier term."""
+    entries = references.glossary(markup.nodes(markup.parsed(_term_documents(spark, sf_dir)[0])))
+    return entries.where("nth > 1").groupBy("normal").agg(F.count(F.lit(1)).alias("n"))
+
+
+GLOSSARY_REPEATS = "SELECT lower(trim(p_name)) AS normal, (count(*) - 1)::BIGINT AS n FROM part GROUP BY 1 HAVING count(*) > 1"
+
+
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two references of each order in one cross reference, the second without a book."""
+    orders = _table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    xt = F.concat(F.lit("\\xt Genesis "), k % 50 + 1, F.lit(":"), k % 30 + 1, F.lit("-"), k % 30 + 3, F.lit("; "), k % 7 + 1, F.lit(":"), k % 11 + 1, F.lit("\\xt*"))
+    docs = orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", xt.alias("x")))).alias("xs"))
+    docs = docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("\\id EXO\n\\c 1\n\\p "), F.array_join(F.transform("xs", lambda x: x["x"]), " ")).alias("text"))
+    names = BookNames(codes=True)
+    names.add("Genesis", "GEN")
+    found = references.cross_references(markup.nodes(markup.parsed(docs)), names=names)
+    return found.groupBy(F.col("doc_id").cast("long").alias("doc"), "book", "chapter", "verse", F.coalesce("end_verse", F.lit(0)).alias("end_verse")).agg(F.count(F.lit(1)).alias("n"))
+
+
+CITATIONS = """
+WITH c AS (SELECT o_custkey AS doc, o_orderkey % 50 + 1 AS chapter, o_orderkey % 30 + 1 AS verse, o_orderkey % 30 + 3 AS end_verse FROM orders
+  UNION ALL SELECT o_custkey, o_orderkey % 7 + 1, o_orderkey % 11 + 1, 0 FROM orders)
+SELECT doc, 'GEN' AS book, chapter, verse, end_verse, count(*)::BIGINT AS n FROM c GROUP BY 1, 3, 4, 5
+"""
+
+
+def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each wrapped document through markup and USX and back: are the trees the same?"""
+
+    def check(t: str) -> str:
+        doc = parse(t)
+        out = writers.to_markup(doc)
+        same = writers.same(doc.blocks, parse(out).blocks) and writers.to_markup(parse(out)) == out
+        back = usx.read_usx(writers.to_usx(doc))
+        plain = lambda bs: [b for b in bs if b.marker != "usfm"]
+        return f"{same} {writers.same(plain([writers.normalised(b, doc.sheet) for b in doc.blocks]), plain(back.blocks))}"
+
+    got = render.per_text(verse_documents(spark, sf_dir), check)
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("value").alias("same"))
+
+
+ROUND_TRIP = "SELECT doc_id, 'True True' AS same FROM documents"
+
+
+def usx_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The text of every verse, read from the USX of the document."""
+    xml = render.render(verse_documents(spark, sf_dir), "usx").withColumnRenamed("value", "text")
+    out = index.verse_text(markup.nodes(markup.parsed(xml, reader=usx.read_usx)))
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "book", "chapter", "number", "text")
+
+
+def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest of the HTML of every wrapped document."""
+    got = render.render(verse_documents(spark, sf_dir), "html")
+    return got.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("value").cast("long").alias("n"), F.sha2("value", 256).alias("digest"))
+
+
+HTML_PAGES = None  # tested on its own
+
+
+def json_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each node type stands in the JSON of the wrapped documents."""
+    got = render.render(verse_documents(spark, sf_dir), "json")
+    types = F.regexp_extract_all("value", F.lit('"type":"([a-z_]+)"'), 1)
+    return got.select(F.explode(types).alias("type")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+
+
+JSON_TYPES = f"""
+WITH l AS ({_LINES}), v AS (SELECT count(*) AS n, count(*) FILTER (trim(regexp_replace(line, '[ \\t\\n\\f\\r]+', ' ', 'g')) <> '') AS full_, count(DISTINCT doc_id) AS docs FROM l),
+e AS (SELECT count(*) AS n FROM l a JOIN (SELECT doc_id, max(n) AS last FROM l GROUP BY 1) m ON a.doc_id = m.doc_id AND a.n < m.last WHERE trim(regexp_replace(line, '[ \\t\\n\\f\\r]+', ' ', 'g')) <> '')
+SELECT type, n::BIGINT AS n FROM (
+  SELECT 'document' AS type, docs AS n FROM v UNION ALL SELECT 'book', docs FROM v UNION ALL SELECT 'chapter_start', docs FROM v UNION ALL SELECT 'chapter_end', docs FROM v
+  UNION ALL SELECT 'para', docs FROM v UNION ALL SELECT 'verse_start', n FROM v UNION ALL SELECT 'verse_end', n FROM v UNION ALL SELECT 'text', v.full_ + e.n FROM v, e)
+"""
+
+
+def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an unknown marker or a note without caller, after all repairs."""
+    docs = _table(spark, sf_dir, "documents")
+    body = F.when(F.col("doc_id") % 2 == 0, F.lit("a \\qqq b")).otherwise(F.lit("a\\f \\ft b\\f*"))
+    given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("\\id XXA\n\\c 1\n\\p\n\\v "), F.col("doc_id") + 1, F.lit(" "), body).alias("text"))
+    return render.fixed(given).select(F.col("doc_id").cast("long").alias("doc_id"), "value")
+
+
+FIXED = """
+SELECT doc_id, '\\id XXA' || chr(10) || '\\c 1' || chr(10) || '\\p' || chr(10) || '\\v ' || (doc_id + 1) || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'a b' ELSE 'a\\f + \\ft b\\f*' END AS value FROM documents
+"""
+
+
+def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over the text of part names: at each place the first rule that matches."""
+    part = _table(spark, sf_dir, "part")
+    rules = replacements.Replacements('"([aeiou])([a-z])" > "${2}${1}"\n"[aeiou]" > "_"\n" " > "."')
+    got = render.per_text(part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text")), rules.apply)
+    return got.select(F.col("doc_id").cast("long").alias("p_partkey"), "value")
+
+
+REPLACED = None
+
+
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of the order documents in the outline, with their span in bytes."""
+    rows = index.symbols(markup.nodes(markup.parsed(order_documents(spark, sf_dir)))).where("kind = 'chapter'")
+    return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chapters"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.min(F.col("end") - F.col("start")).alias("least"))
+
+
+OUTLINE = """
+WITH r AS (SELECT l_suppkey AS doc_id, length('\\c ' || (l_orderkey % 40 + 1) || chr(10) || '\\p' || chr(10) || '\\v ' || l_linenumber || ' x \\v ' || (l_partkey % 5 + 1) || ' y') AS n,
+   row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_quantity DESC, l_extendedprice DESC) AS from_last FROM lineitem),
+s AS (SELECT doc_id, CASE WHEN from_last = 1 THEN n ELSE n + 1 END AS n FROM r)
+SELECT doc_id, count(*)::BIGINT AS chapters, sum(n)::BIGINT AS bytes, min(n)::BIGINT AS least FROM s GROUP BY 1
+"""
+
+
+def found_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands inside every verse number 3 of the order documents, and its reference."""
+    nodes = markup.nodes(markup.parsed(order_documents(spark, sf_dir)))
+    starts = nodes.where("kind = 'verse_start' and number = '3'").select("doc_id", (F.col("span_start") + 1).alias("offset"))
+    got = index.locate(nodes, starts)
+    return got.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "kind", "book", "verse").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chapter").cast("long")).alias("chapters"))
+
+
+FOUND_AT = """
+WITH r AS (SELECT l_suppkey AS doc_id, l_orderkey % 40 + 1 AS c, unnest([l_linenumber::BIGINT, l_partkey % 5 + 1]) AS v FROM lineitem)
+SELECT doc_id, 'verse_start' AS kind, 'XXA' AS book, '3' AS verse, count(*)::BIGINT AS n, sum(c)::BIGINT AS chapters FROM r WHERE v = 3 GROUP BY 1
+"""
+
 _QUERIES = {
     "t2_sections": (sections, SECTIONS),
     "x7_verse_text": (verse_text, VERSE_TEXT),
@@ -196,6 +358,17 @@ _QUERIES = {
     "c9_c13_attributes": (attribute_checks, ATTRIBUTE_CHECKS),
     "c8_columns": (table_columns, TABLE_COLUMNS),
     "t6_woven": (woven, WOVEN),
+    "g_glossary": (glossary, GLOSSARY),
+    "g3_repeats": (glossary_repeats, GLOSSARY_REPEATS),
+    "r_citations": (citations, CITATIONS),
+    "k_round_trip": (round_trip, ROUND_TRIP),
+    "s2_usx_verses": (usx_verses, VERSE_TEXT),
+    "k3_json_types": (json_types, JSON_TYPES),
+    "k4_html": (html_pages, HTML_PAGES),
+    "e_fixed": (fixed, FIXED),
+    "t4_replaced": (replaced, REPLACED),
+    "q2_outline": (outline, OUTLINE),
+    "q1_located": (found_at, FOUND_AT),
 }
 
 

@@ -45,41 +45,73 @@ def _ddl(t: pa.DataType) -> str:
 PARSED_DDL = ", ".join(f"{f.name} {_ddl(f.type)}" for f in PARSED)
 
 
-def node_rows(doc: Document) -> list[dict]:
-    at = ByteOffsets(doc.source)
-    rows: list[dict] = []
-
-    def visit(node, path, para, note, cell, in_char, depth, chars, block):
-        row = dict.fromkeys(_FIELDS)
-        seq = len(rows)
-        rows.append(row)
-        row.update(seq=seq, path=list(path), depth=len(path), kind=node.kind, marker=node.marker, content=node.content, span_start=at(node.start), span_end=at(node.end), para=para, note=note, in_cell=cell, in_char=in_char, char_depth=depth, chars=chars, block=block, direct=len(path) == 2 and para is not None)
-        for k, v in node.data.items():
-            if k == "ranges":
-                row["ranges"] = [{"start": r.start, "start_part": r.start_part, "end": r.end, "end_part": r.end_part} for r in v]
-            elif k in row:
-                row[k] = v
-        if node.attributes is not None:
-            row["attributes"] = [{"name": n, "value": v, "start": at(a), "end": at(b)} for n, v, a, b in node.attributes]
-            row["pipe_start"] = at(node.pipe) if node.pipe is not None else None
-        kind = node.kind
-        if kind == "para":
-            para, note, cell, in_char, depth, chars, block = node.marker, None, False, False, 0, [], seq
-        elif kind == "cell":
-            para, note, cell, in_char, depth, chars, block = None, None, True, False, 0, [], seq
-        elif kind == "char":
-            in_char, depth, chars = True, depth + 1, [*chars, node.marker]
-        elif kind == "note":
-            note, in_char, block = node.marker, False, seq
-        elif kind in ("sidebar", "periph", "table", "row"):
-            para = note = None
-        for i, c in enumerate(node.children):
-            visit(c, (*path, i), para, note, cell, in_char, depth, chars, block)
-        row["seq_end"] = len(rows) - 1
-
-    for i, b in enumerate(doc.blocks):
-        visit(b, (i,), None, None, False, False, 0, [], None)
-    return rows
+_DENSE = ("seq", "seq_end", "path", "depth", "kind", "marker", "content", "span_start", "span_end", "para", "note", "in_cell", "in_char", "char_depth", "chars", "block", "direct")
+_SPARSE = tuple(f for f in _FIELDS if f not in _DENSE)
+
+
+class NodeColumns:
+    """Nodes of many documents, column by column; most fields are null on most nodes and are
+    kept by row number until the arrays are made."""
+
+    def __init__(self):
+        self.dense: dict[str, list] = {f: [] for f in _DENSE}
+        self.sparse: dict[str, dict[int, object]] = {f: {} for f in _SPARSE}
+        self.offsets = [0]
+
+    def add(self, doc: Document) -> None:
+        at = ByteOffsets(doc.source)
+        d, sparse = self.dense, self.sparse
+        push = [d[f].append for f in _DENSE if f != "seq_end"]
+        ends = d["seq_end"]
+        base = len(ends)
+
+        def visit(node, path, para, note, cell, in_char, depth, chars, block):
+            row = len(ends)
+            seq = row - base
+            ends.append(seq)
+            kind = node.kind
+            for f, v in zip(push, (seq, path, len(path), kind, node.marker, node.content, at(node.start), at(node.end), para, note, cell, in_char, depth, chars, block, len(path) == 2 and para is not None)):
+                f(v)
+            for k, v in node.data.items():
+                if k == "ranges":
+                    sparse[k][row] = [{"start": r.start, "start_part": r.start_part, "end": r.end, "end_part": r.end_part} for r in v]
+                elif k in sparse and v is not None:
+                    sparse[k][row] = v
+            if node.attributes is not None:
+                sparse["attributes"][row] = [{"name": n, "value": v, "start": at(a), "end": at(b)} for n, v, a, b in node.attributes]
+                if node.pipe is not None:
+                    sparse["pipe_start"][row] = at(node.pipe)
+            if not node.children:
+                return
+            if kind == "para":
+                para, note, cell, in_char, depth, chars, block = node.marker, None, False, False, 0, [], seq
+            elif kind == "cell":
+                para, note, cell, in_char, depth, chars, block = None, None, True, False, 0, [], seq
+            elif kind == "char":
+                in_char, depth, chars = True, depth + 1, [*chars, node.marker]
+            elif kind == "note":
+                note, in_char, block = node.marker, False, seq
+            elif kind in ("sidebar", "periph", "table", "row"):
+                para = note = None
+            for i, c in enumerate(node.children):
+                visit(c, [*path, i], para, note, cell, in_char, depth, chars, block)
+            ends[row] = len(ends) - 1 - base
+
+        for i, b in enumerate(doc.blocks):
+            visit(b, [i], None, None, False, False, 0, [], None)
+        self.offsets.append(len(ends))
+
+    def array(self) -> pa.Array:
+        n = len(self.dense["seq"])
+        arrays = []
+        for f in NODE:
+            values = self.dense.get(f.name)
+            if values is None:
+                values = [None] * n
+                for i, v in self.sparse[f.name].items():
+                    values[i] = v
+            arrays.append(pa.array(values, f.type))
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(NODE)))
 
 
 def diagnostic_rows(doc: Document) -> list[dict]:
@@ -95,11 +127,13 @@ def parsed(docs: DataFrame, sheet: Sheet | None = None, ends: bool = True, reade
         for b in batches:
             ids, texts = b.column(0).cast(pa.string()), b.column(1)
             for lo in range(0, b.num_rows, 64):
-                part = []
-                for i, t in zip(ids[lo : lo + 64].to_pylist(), texts[lo : lo + 64].to_pylist()):
+                found, sizes, columns = [], [], NodeColumns()
+                for t in texts[lo : lo + 64].to_pylist():
                     doc = reader(t or "", sheet, ends)
-                    part.append({"doc_id": i, "nodes": node_rows(doc), "diagnostics": diagnostic_rows(doc), "length": len((t or "").encode())})
-                yield pa.RecordBatch.from_pylist(part, schema=PARSED)
+                    columns.add(doc)
+                    found.append(diagnostic_rows(doc))
+                    sizes.append(len((t or "").encode()))
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 64], columns.array(), pa.array(found, pa.list_(FOUND)), pa.array(sizes, pa.int64())], schema=PARSED)
 
     return docs.select("doc_id", "text").mapInArrow(run, PARSED_DDL)
 
