@@ -194,3 +194,19 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
 
 def op4_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_ITEM_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP4_SQL = f"""
+WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
+i AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(ws), {WINDOW}) AS n, array_to_string(list_slice(ws, s, s + least(len(ws), {WINDOW}) - 1), ' ') AS g
+      FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - {WINDOW - 1}, 1) + 1)) AS s FROM i WHERE len(ws) > 0)),
+g AS (SELECT doc_id, n, s, array_to_string(list_slice(ws, s, s + n - 1), ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM p))),
+m AS (SELECT doc_id, s, n, item_id FROM g JOIN p USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS k FROM m) GROUP BY 1),
+f AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY 1)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND {CONTAMINATED_SHARE} * coalesce(n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
