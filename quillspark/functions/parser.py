@@ -1,7 +1,7 @@
 """A recovering parser for one document of backslash markup.
 
-The text becomes a list of tokens first, so that going back is setting an index. Blocks are
-read by one loop, inline content by another that works on the container being filled; what
+Tokens are read where the parser stands, so going back is standing elsewhere, and a run of text
+is one match however many words it has. Blocks are read by one loop, inline content by another that works on the container being filled; what
 ends a container is returned as a closer for its owner to deal with. Nothing raises on any
 input: what can't be read leaves a diagnostic.
 """
@@ -25,15 +25,26 @@ _KIND = {"m": MARKER, "e": ESCAPE, "x": MEND, "b": SLASH, "s": SPACE, "o": BREAK
 _CELL = re.compile(r"t([ch])([cr]?)(\d*)(?:-(\d*))?(?:-(\d*))?$")
 
 
+_TEXT_RUN = re.compile(r"(?:[^\\|/]+|/(?!/))+")
+_BACKSLASH = re.compile(r"""\\(?:(\+?)([A-Za-z0-9_-]+)(\*?)|[\\|"]|\*|\+?)""")
+
+
+def token(source: str, at: int) -> tuple:
+    """(kind, start, end, name, plus, closing) of the token at an offset."""
+    m = _TOKEN.match(source, at)
+    if m is None:
+        return EOF, at, at, None, False, False
+    if m.lastgroup == "m":
+        name, plus, close = m.group("name", "plus", "close")
+        return MARKER, at, m.end(), name, bool(plus), bool(close)
+    return _KIND[m.lastgroup], at, m.end(), None, False, False
+
+
 def tokens(source: str) -> list[tuple]:
-    """(kind, start, end, name, plus, closing) tiling the source; the last is EOF."""
-    out = []
-    for m in _TOKEN.finditer(source):
-        if m.lastgroup == "m" or m["m"]:
-            out.append((MARKER, m.start(), m.end(), m["name"], bool(m["plus"]), bool(m["close"])))
-        else:
-            out.append((_KIND[m.lastgroup], m.start(), m.end(), None, False, False))
-    out.append((EOF, len(source), len(source), None, False, False))
+    """All tokens; they tile the source, and the last is EOF."""
+    out = [token(source, 0)]
+    while out[-1][0] != EOF:
+        out.append(token(source, out[-1][2]))
     return out
 
 
@@ -74,8 +85,8 @@ class Verse:
 class Parser:
     def __init__(self, source: str, sheet: Sheet | None = None, ends: bool = True):
         self.src = source
-        self.tok = tokens(source)
-        self.i = 0
+        self.t = token(source, 0)
+        self.before = 0  # end of the token before
         self.sheet = Sheet(dict((sheet or default_sheet()).styles))
         self.ends = ends
         self.found: list[Diagnostic] = []
@@ -92,46 +103,48 @@ class Parser:
 
     @property
     def kind(self) -> int:
-        return self.tok[self.i][0]
+        return self.t[0]
 
     @property
     def span(self) -> tuple[int, int]:
-        return self.tok[self.i][1:3]
-
-    @property
-    def before(self) -> int:
-        return self.tok[self.i - 1][2] if self.i else 0
+        return self.t[1:3]
 
     @property
     def name(self) -> str:
-        return self.tok[self.i][3]
+        return self.t[3]
 
     def here(self) -> str:
-        t = self.tok[self.i]
-        return self.src[t[1] : t[2]]
+        return self.src[self.t[1] : self.t[2]]
 
     def bump(self) -> tuple[int, int]:
-        span = self.tok[self.i][1:3]
-        if self.i < len(self.tok) - 1:
-            self.i += 1
-        return span
+        t = self.t
+        if t[0] != EOF:
+            self.before = t[2]
+            self.t = token(self.src, t[2])
+        return t[1:3]
+
+    def place(self) -> tuple:
+        return self.t, self.before
+
+    def back(self, place: tuple) -> None:
+        self.t, self.before = place
 
     def space(self) -> None:
-        if self.kind == SPACE:
-            self.i += 1
+        if self.t[0] == SPACE:
+            self.bump()
 
     def word(self) -> str | None:
-        if self.kind != WORD:
+        if self.t[0] != WORD:
             return None
         w = self.here()
-        self.i += 1
+        self.bump()
         return w
 
     def newline(self) -> bool:
-        return self.kind == SPACE and any(c in "\n\r" for c in self.here())
+        return self.t[0] == SPACE and any(c in "\n\r" for c in self.here())
 
     def at(self, name: str, closing: bool = False) -> bool:
-        t = self.tok[self.i]
+        t = self.t
         return t[0] == MARKER and t[3] == name and t[5] == closing
 
     def say(self, code: str, span: tuple[int, int], message: str) -> None:
@@ -210,7 +223,7 @@ class Parser:
             if kind == EOF:
                 return "eof", None, self.span
             if kind == MARKER:
-                name, closing = self.name, self.tok[self.i][5]
+                name, closing = self.name, self.t[5]
                 style = self.style(name)
                 if closing:
                     span = self.bump()
@@ -242,10 +255,10 @@ class Parser:
 
     def skip_to_paragraph(self) -> None:
         while self.kind != EOF:
-            t = self.tok[self.i]
+            t = self.t
             if t[0] == MARKER and not t[5] and (s := self.style(t[3])) and s.kind == "paragraph":
                 return
-            self.i += 1
+            self.bump()
 
     def place_milestone(self, out, node: Node, head) -> None:
         last = out[-1] if out else None
@@ -395,7 +408,7 @@ class Parser:
             self.say(code, where if w is not None else at, f"\\{name} needs a number")
         self.space()
         if self.at(name, closing=True):
-            self.i += 1
+            self.bump()
         else:
             self.say(unclosed, at, f"\\{name} has no \\{name}*")
         return show_numbers(got) if got else None
@@ -419,7 +432,7 @@ class Parser:
                 if (alt := self.number_after("ca", "malformed-chapter-number", "alternate-chapter-not-closed")) is not None:
                     node.data["alt_number"] = alt
             elif self.at("cp"):
-                self.i += 1
+                self.bump()
                 self.space()
                 node.data["pub_number"] = self.word()
             else:
@@ -497,9 +510,9 @@ class Parser:
     def row(self, span):
         row = Node("row", "tr", *span)
         before, at = None, self.span
-        info = cell_info(self.name) if self.kind == MARKER and not self.tok[self.i][5] else None
+        info = cell_info(self.name) if self.kind == MARKER and not self.t[5] else None
         if info:
-            self.i += 1
+            self.bump()
             self.space()
         else:
             self.say("expected-table-cell", at, "\\tr without a cell; \\tc1 was supplied")
@@ -636,7 +649,7 @@ class Parser:
             ctx.attributes, ctx.pipe = self.attribute_list(), span[0]
 
     def marker(self, ctx: Node):
-        _, a, b, name, plus, closing = self.tok[self.i]
+        _, _, _, name, plus, closing = self.t
         span = self.bump()
         if not closing:
             self.space()
@@ -744,8 +757,9 @@ class Parser:
         """Does \\name* come, before anything that would end this container?"""
         opened = {s for s, _ in self.open}
         plussed = 0
-        for kind, _, _, cur, plus, closing in self._ahead():
-            if kind != MARKER:
+        for m in _BACKSLASH.finditer(self.src, self.t[2]):
+            plus, cur, closing = m.groups()
+            if cur is None:
                 continue
             if closing:
                 if cur in opened:
@@ -760,10 +774,6 @@ class Parser:
                 return False
         return False
 
-    def _ahead(self):
-        for j in range(self.i + 1, len(self.tok)):
-            yield self.tok[j]
-
     def char_body(self, ctx: Node, name: str, span):
         inner = Node("char", name, *span)
         self.open.append((name, False))
@@ -842,7 +852,7 @@ class Parser:
     # -- milestones -----------------------------------------------------
 
     def milestone(self, name: str, span) -> Node:
-        back, said = self.i, len(self.found)
+        back, said = self.place(), len(self.found)
         self.space()
         node = Node("milestone", name, span[0])
         if self.kind == PIPE:
@@ -850,15 +860,15 @@ class Parser:
             node.attributes = self.attribute_list()
         self.space()
         if self.kind == MEND:
-            self.i += 1
+            self.bump()
         else:
             if node.attributes is not None:
-                there, rest = self.i, self.found[said:]
-                self.i = back
+                there, rest = self.place(), self.found[said:]
+                self.back(back)
                 del self.found[said:]
                 if (line := self.line_milestone(name, span)) is not None:
                     return line
-                self.i = there
+                self.back(there)
                 self.found += rest
             self.say("milestone-not-closed", span, f"milestone \\{name} has no \\*")
         node.end = self.before
@@ -866,7 +876,7 @@ class Parser:
 
     def unknown_milestone(self, name: str, span) -> Node | None:
         """A milestone whose marker is new, which then joins this document's sheet."""
-        back, said = self.i, len(self.found)
+        back, said = self.place(), len(self.found)
         self.space()
         node = Node("milestone", name, span[0])
         if self.kind == PIPE:
@@ -874,10 +884,10 @@ class Parser:
             node.attributes = self.attribute_list()
         self.space()
         if self.kind == MEND:
-            self.i += 1
+            self.bump()
             node.end = self.before
         else:
-            self.i = back
+            self.back(back)
             del self.found[said:]
             node = self.line_milestone(name, span)
         if node is not None:
@@ -888,7 +898,7 @@ class Parser:
         """A start milestone that runs to the end of its line."""
         if not name.endswith("-s"):
             return None
-        back, said = self.i, len(self.found)
+        back, said = self.place(), len(self.found)
         self.space()
         if self.kind == PIPE:
             node = Node("milestone", name, span[0])
@@ -900,7 +910,7 @@ class Parser:
                 self.say("milestone-not-closed", span, f"milestone \\{name} has no \\*; it ends with its line")
                 node.end = self.before
                 return node
-        self.i = back
+        self.back(back)
         del self.found[said:]
         return None
 
@@ -917,17 +927,18 @@ class Parser:
     # -- text and attributes --------------------------------------------
 
     def text_run(self) -> Node:
-        start = self.span[0]
-        while self.kind in _TEXT:
-            self.i += 1
-        end = self.span[0]
+        """All text from here to a backslash, a pipe or //."""
+        start = self.t[1]
+        end = _TEXT_RUN.match(self.src, start).end()
+        self.before = end
+        self.t = token(self.src, end)
         return text(collapse(self.src[start:end]).replace("~", "\u00a0"), start, end)
 
     def old_figure(self, fig: Node, pipe) -> bool:
         """USFM 2's seven fields; True if they were there and became attributes."""
         if any(n.kind != "text" for n in fig.children):
             return False
-        back = self.i
+        back = self.place()
         fields, start, escaped = [], pipe[1], False
         while True:
             kind = self.kind
@@ -942,9 +953,9 @@ class Parser:
                 break
             else:
                 escaped |= kind == ESCAPE
-                self.i += 1
+                self.bump()
         if len(fields) != 6 or self.kind != MARKER or self.here() != "\\fig*":
-            self.i = back
+            self.back(back)
             return False
         value = lambda f: collapse(self.value(*f).strip(WS))
         pairs = [("alt", collapse("".join(n.content for n in fig.children).strip(WS)), fig.start, pipe[0])]
@@ -962,7 +973,7 @@ class Parser:
         return re.sub(r'\\(?=[\\|"])', "", raw) if escaped else raw
 
     def named(self) -> bool:
-        return self.kind == WORD and self.tok[self.i + 1][0] == EQUAL
+        return self.t[0] == WORD and self.src.startswith("=", self.t[2])
 
     def attribute_list(self) -> list[tuple]:
         pairs, said = [], False
@@ -970,7 +981,7 @@ class Parser:
         while True:
             if self.newline():
                 if self.title:
-                    self.i += 1
+                    self.bump()
                     break
                 if self.line:
                     break
@@ -980,12 +991,12 @@ class Parser:
             self.space()
             if self.named():
                 name, span = self.here(), self.bump()
-                self.i += 1
+                self.bump()
                 pairs.append((name, self.attribute_value(), *span))
             elif self.kind in (WORD, QUOTE, BREAK):
                 start = self.span[0]
                 while self.kind in (SPACE, WORD, QUOTE, BREAK) and not (bounded and self.newline()) and not self.named():
-                    self.i += 1
+                    self.bump()
                 pairs.append(("", self.src[start : self.span[0]], start, self.span[0]))
             else:
                 break
@@ -1015,7 +1026,7 @@ class Parser:
                 self.say("unterminated-attribute-value", quote, 'an attribute value has no closing "')
                 return self.value(start, self.span[0], escaped)
             escaped |= kind == ESCAPE
-            self.i += 1
+            self.bump()
 
 
 @dataclass

@@ -10,7 +10,9 @@ note, cell, character styles) as columns.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -106,9 +108,18 @@ class NodeColumns:
         arrays = []
         for f in NODE:
             values = self.dense.get(f.name)
+            if f.name in ("path", "chars"):
+                offsets = np.zeros(n + 1, np.int32)
+                np.cumsum([len(v) for v in values], out=offsets[1:])
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(values)), f.type.value_type)))
+                continue
             if values is None:
+                some = self.sparse[f.name]
+                if not some:
+                    arrays.append(pa.nulls(n, f.type))
+                    continue
                 values = [None] * n
-                for i, v in self.sparse[f.name].items():
+                for i, v in some.items():
                     values[i] = v
             arrays.append(pa.array(values, f.type))
         return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(NODE)))
