@@ -5,13 +5,16 @@ the least and the greatest value: twice the signature for the same hashing, with
 variance. Bands of the signature make buckets. Texts with equal sets form a class, and only
 one representative of each goes on. Candidates are tested on full sets:
 
-1. of the pairs (member, least member of its bucket), first the one with most bands in common
-   for each member, then those that still join different components;
-2. in buckets that still hold several components, the members outside the largest component
-   against all others of another component.
-
-So each pair that shares a band is either tested or already joined by tested links, without
-writing out the pairs of a group of copies.
+1. each member with one pivot, the least member of the bucket that most of its buckets name;
+   the links found give components, and a bucket belongs to the component of its pivot;
+2. members of a bucket in another component ("outliers") with the head of that component;
+3. outliers that fail there with all others of the component's buckets, without trying the
+   pairs: if A and B are similar and B is far from the head P, then A and B must agree on many
+   of the few places where A differs from P. So the differences are joined, A's by a prefix
+   that must contain one such place, and only what meets is tested.
+
+So each pair that shares a band is tested, joined by tested links, or proved too far apart,
+in time and space that follow the members and not the pairs of a group of copies.
 """
 
 from __future__ import annotations
@@ -174,9 +177,7 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
         sets = materialize(_sets(docs, active, k), "sets")
         first = stars.groupBy(F.col("rep").alias("a")).agg(F.max_by("pivot", F.struct("common", -F.col("pivot"))).alias("b"))
         labels = _merge(None, _linked(first, sets, percent))
-        rest = _between(stars.select(F.col("rep").alias("a"), F.col("pivot").alias("b")), labels).join(first, ["a", "b"], "left_anti")
-        labels = _merge(labels, _linked(rest, sets, percent))
-        labels = _merge(labels, _linked(_cross(members, labels), sets, percent))
+        labels = _settle(members, labels, sets, percent)
     named = signed.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     if labels is not None:
         named = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("rep"))
@@ -187,11 +188,6 @@ def _label(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
     return df.join(labels.select(F.col("node").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
 
-def _between(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends have different labels."""
-    return _label(_label(pairs, labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-
-
 def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     """Labels after ``links`` joined components: only the labels' own graph is solved."""
     links = materialize(links, "links")
@@ -206,17 +202,42 @@ def _merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return materialize(moved.union(alone), "labels")
 
 
-def _cross(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of different components in one bucket that were not yet tested: at least one end
-    outside the bucket's largest component, neither the bucket's least member."""
-    named = _label(members, labels, "rep", "label")
-    mixed = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    named = materialize(named.join(mixed, "key", "left_semi").where("rep <> pivot").select("key", "rep", "label"), "mixed")
-    largest = named.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
-    outside = named.join(largest, "key").where("label <> main")
-    x, y = outside.select("key", F.col("rep").alias("a0"), F.col("label").alias("la"), "main"), named.select("key", F.col("rep").alias("b0"), F.col("label").alias("lb"))
-    pairs = x.join(y, "key").where("la <> lb and (lb = main or a0 < b0)")
-    return pairs.select(F.least("a0", "b0").alias("a"), F.greatest("a0", "b0").alias("b")).distinct()
+def _settle(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Labels after all pairs of one bucket and different components were decided."""
+    named = _label(_label(members.select("rep", "pivot").distinct(), labels, "rep", "label"), labels, "pivot", "head")
+    named = named.select("head", "rep", "label").distinct()
+    mixed = named.groupBy("head").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y or x <> head").select("head")
+    named = materialize(named.join(mixed, "head", "left_semi").where("rep <> head"), "mixed")
+    if named.limit(1).count() == 0:
+        return labels
+    one = named.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("s")), "rep")
+    two = one.join(sets.select(F.col("doc_id").alias("head"), F.col("items").alias("p")), "head")
+    # The head may not be of the bucket itself, but it is a member or pivot of some bucket.
+    apart = two.select("head", "rep", "label", F.size("s").alias("n"), F.size("p").alias("m"), F.array_sort(F.array_except("s", "p")).alias("more"), F.array_sort(F.array_except("p", "s")).alias("less"))
+    apart = materialize(apart.select("*", (F.size("more") + F.size("less")).alias("d")), "apart")
+    close = 100 * (F.col("n") - F.size("more")) >= percent * (F.col("m") + F.size("more"))
+    links = apart.where((F.col("label") != F.col("head")) & close).select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    failed = apart.where((F.col("label") != F.col("head")) & ~close)
+    # B failed: it differs from P in more than (100 - p)/(100 + p) of both sizes, and a similar A
+    # differs from B in no more than that part of theirs. So A and B share more than this many
+    # of the places where A differs from P; whole numbers, as one less lets far more through.
+    at_least = F.greatest(F.lit(1), F.expr(f"cast((cast(d as bigint) * {100 + percent} + (m - n) * {100 - percent}) div {2 * (100 + percent)} as int) + 1"))
+    places = F.concat("more", "less")  # what P lacks first: the rarer, in one order for all of P's
+    prefix = F.slice(places, F.lit(1), F.greatest(F.lit(0), F.col("d") - at_least + 1))
+    more = F.size("more")
+    x = apart.join(failed.select("head").distinct(), "head", "left_semi").select("head", F.col("rep").alias("a"), F.col("label").alias("la"), "d", "n", more.alias("e"), F.posexplode(prefix).alias("i", "at"))
+    y = failed.select("head", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("d").alias("d2"), F.col("n").alias("n2"), more.alias("e2"), F.posexplode(places).alias("i2", "at"))
+    # The most places that can be shared if this is the first: what the pair's sizes ask for
+    # must fit into it, or the pair meets again at its real first place, or never.
+    left = F.when(F.col("i") < F.col("e"), F.expr("least(e - i, e2 - i2) + least(d - e, d2 - e2)")).otherwise(F.expr("least(d - i, d2 - i2)"))
+    enough = left.cast("long") * (2 * (100 + percent)) >= (F.col("d") + F.col("d2")) * (100 + percent) - (F.col("n") + F.col("n2")) * (100 - percent)
+    met = x.join(y, ["head", "at"]).where(F.col("la") != F.col("lb")).where(enough).select("head", "a", "b").distinct()
+    # The differences from P say all about two sets: A and B differ where one of them differs.
+    side = lambda c: apart.select("head", F.col("rep").alias(c), places.alias(f"p{c}"), F.col("n").alias(f"n{c}"))
+    both = met.join(side("a"), ["head", "a"]).join(side("b"), ["head", "b"])
+    differ = F.size("pa") + F.size("pb") - 2 * F.size(F.array_intersect("pa", "pb"))
+    near = both.where(differ * (100 + percent) <= (F.col("na") + F.col("nb")) * (100 - percent)).select("a", "b")
+    return _merge(labels, links.union(near).distinct())
 
 
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
