@@ -41,14 +41,6 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_shared(df: DataFrame) -> None:
-    """Remove the files below a table that ``materialize`` wrote, once nothing reads it."""
-    sc = df.sparkSession.sparkContext
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = sc._jvm.org.apache.hadoop.fs.Path(f)
-        where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def utf8(col: pa.Array):
     """Each value of an Arrow string or binary column as bytes, None for null, without
     decoding: ``(values, offsets)`` views cost nothing until a row is cut out."""
