@@ -147,7 +147,7 @@ def usfx_books(xml: str) -> dict[str, str]:
 
 def close_milestones(text: Column) -> Column:
     """\\* after alignment milestones that end with their line, as old tools wrote them."""
-    return F.regexp_replace(text, r"(?m)(\\(?:zaln|k)-s \|[^\\\n]*)$", r"$1\\\\*")
+    return F.regexp_replace(text, r"(?m)(\\(?:zaln|k)-s \|[^\\\n]*)$", r"$1\\*")
 
 
 def with_lemmas(text: Column, seed: int = 0) -> Column:

@@ -14,7 +14,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.parser import ByteOffsets, Document, parse
@@ -168,3 +168,16 @@ def combined(docs: DataFrame, group: str, order: str) -> DataFrame:
     """Files of a group as one document, joined by line breaks in ``order``."""
     one = docs.groupBy(F.col(group).alias("doc_id")).agg(F.sort_array(F.collect_list(F.struct(order, "text"))).alias("parts"))
     return one.select("doc_id", F.array_join(F.transform("parts", lambda p: p["text"]), "\n").alias("text"))
+
+
+def appended(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """Node tables of several documents as one each: ``groups`` is (doc_id, group, ord). Paths
+    and node numbers move behind those of the documents before; spans stay those of the file,
+    whose id is kept as ``file``. Markers are names, so styles need no translation."""
+    size = nodes.groupBy("doc_id").agg(F.max(F.col("path")[0] + 1).alias("_b"), F.max(F.col("seq") + 1).alias("_n"))
+    w = Window.partitionBy("group").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    moved = groups.join(size, "doc_id", "left").select("doc_id", "group", F.coalesce(F.sum("_b").over(w), F.lit(0)).cast("int").alias("_blocks"), F.coalesce(F.sum("_n").over(w), F.lit(0)).cast("int").alias("_nodes"))
+    rows = nodes.join(moved, "doc_id")
+    path = F.concat(F.array(F.col("path")[0] + F.col("_blocks")), F.slice("path", 2, F.greatest(F.size("path") - 1, F.lit(0))))
+    new = {"doc_id": F.col("group"), "path": path, "seq": F.col("seq") + F.col("_nodes"), "seq_end": F.col("seq_end") + F.col("_nodes"), "block": F.col("block") + F.col("_nodes")}
+    return rows.select(*(new.get(c, F.col(c)).alias(c) for c in nodes.columns), F.col("doc_id").alias("file"))

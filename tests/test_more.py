@@ -75,3 +75,12 @@ assert e.queries() and set(e.oracle_sql()) <= set(e.queries())
 assert not any(q.startswith("op") or q == "pipeline" for q in e.queries())
 """
     subprocess.run([sys.executable, "-c", code], check=True, cwd=tmp_path)
+
+
+def test_appended_documents(spark):
+    docs = spark.createDataFrame([("b", "\\id EXO\n\\c 1\n\\p\n\\v 1 second"), ("a", BODY + "first")], "doc_id string, text string")
+    groups = spark.createDataFrame([("a", "g", 1), ("b", "g", 2)], "doc_id string, group string, ord int")
+    nodes = markup.appended(markup.nodes(markup.parsed(docs)), groups)
+    assert [r.path[0] for r in nodes.where("depth = 1").orderBy("seq").collect()] == list(range(8))
+    got = index.verse_text(nodes.drop("file")).orderBy("seq").collect()
+    assert [(r.doc_id, r.text) for r in got] == [("g", "first"), ("g", "second")]
