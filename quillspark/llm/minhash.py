@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, table, utf8
@@ -128,7 +128,8 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items) of the documents in ``ids``."""
+    """(doc_id, items) of the documents in ``ids``, which grow with the corpus and so are never
+    broadcast, at any size."""
 
     def run(batches):
         last, seen = None, set()
@@ -145,7 +146,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["doc_id", "items"])
 
-    return docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "doc_id long, items array<long>")
+    return docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, items array<long>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -222,16 +223,29 @@ def _settle(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     # differs from B in no more than that part of theirs. So A and B share more than this many
     # of the places where A differs from P; whole numbers, as one less lets far more through.
     at_least = F.greatest(F.lit(1), F.expr(f"cast((cast(d as bigint) * {100 + percent} + (m - n) * {100 - percent}) div {2 * (100 + percent)} as int) + 1"))
-    places = F.concat("more", "less")  # what P lacks first: the rarer, in one order for all of P's
-    prefix = F.slice(places, F.lit(1), F.greatest(F.lit(0), F.col("d") - at_least + 1))
-    more = F.size("more")
-    x = apart.join(failed.select("head").distinct(), "head", "left_semi").select("head", F.col("rep").alias("a"), F.col("label").alias("la"), "d", "n", more.alias("e"), F.posexplode(prefix).alias("i", "at"))
-    y = failed.select("head", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("d").alias("d2"), F.col("n").alias("n2"), more.alias("e2"), F.posexplode(places).alias("i2", "at"))
+    rows = apart.join(failed.select("head").distinct(), "head", "left_semi").select("head", "rep", "label", "d", "n", F.size("more").alias("e"), ((F.col("label") != F.col("head")) & ~close).alias("failed"), (F.col("d") - at_least + 1).alias("take"), "more", "less")
+    # The order of places: what P lacks, from rare to common in this group (places that no two
+    # members share, or none that failed, come first and meet nothing), then what P has.
+    own = ["head", "rep", "label", "d", "n", "e", "failed", "take"]
+    lacked = rows.select(*own, F.explode("more").alias("at"))
+    often = lacked.groupBy("head", "at").agg(F.count(F.lit(1)).alias("c"), F.max("failed").alias("any")).where("c > 1 and any").select("head", "at", "c")
+    member = Window.partitionBy("head", "rep")
+    rank = F.row_number().over(member.orderBy("c", "at")) - F.count(F.lit(1)).over(member) + F.col("e") - 1
+    lacked = lacked.join(often, ["head", "at"]).select(*own, "at", rank.cast("int").alias("i"))
+    had = lambda df, items: df.select(*own, F.posexplode(items).alias("k", "at")).select(*own, "at", (F.col("e") + F.col("k")).alias("i"))
+    few = had(rows.where("take > e"), F.expr("slice(less, 1, take - e)"))
     # The most places that can be shared if this is the first: what the pair's sizes ask for
     # must fit into it, or the pair meets again at its real first place, or never.
     left = F.when(F.col("i") < F.col("e"), F.expr("least(e - i, e2 - i2) + least(d - e, d2 - e2)")).otherwise(F.expr("least(d - i, d2 - i2)"))
     enough = left.cast("long") * (2 * (100 + percent)) >= (F.col("d") + F.col("d2")) * (100 + percent) - (F.col("n") + F.col("n2")) * (100 - percent)
-    met = x.join(y, ["head", "at"]).where(F.col("la") != F.col("lb")).where(enough).select("head", "a", "b").distinct()
+
+    def meet(x: DataFrame, y: DataFrame) -> DataFrame:
+        x = x.select("head", "at", F.col("rep").alias("a"), F.col("label").alias("la"), "d", "n", "e", "i")
+        y = y.select("head", "at", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("d").alias("d2"), F.col("n").alias("n2"), F.col("e").alias("e2"), F.col("i").alias("i2"))
+        return x.join(y, ["head", "at"]).where(F.col("la") != F.col("lb")).where(enough).select("head", "a", "b")
+
+    met = meet(lacked.where("i < take"), lacked.where("failed")).union(meet(few, had(rows.where("failed"), F.col("less")))).distinct()
+    places = F.concat("more", "less")
     # The differences from P say all about two sets: A and B differ where one of them differs.
     side = lambda c: apart.select("head", F.col("rep").alias(c), places.alias(f"p{c}"), F.col("n").alias(f"n{c}"))
     both = met.join(side("a"), ["head", "a"]).join(side("b"), ["head", "b"])
