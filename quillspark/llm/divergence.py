@@ -4,6 +4,11 @@ Each document is compared with reference profiles of languages: the shares of it
 that fall into a few classes, and the shares of its words that are common words of the
 language. The distance is Jensen-Shannon's (square root of the divergence to base 2, so 0 to
 1). One pass over the text, no shuffle; documents too short for a histogram are not judged.
+
+A text without any common word has all its words in one class, which is the greatest word
+distance that a lack of common words can make. It differs by language (0.40 for en, 0.37 for
+fr), so texts with fewer common words than the language has are limited to a part of it; those
+with more of them (one word over and over) can be farther away and have a limit of their own.
 """
 
 from __future__ import annotations
@@ -50,6 +55,7 @@ class DivergenceRules:
     min_bytes: int = 300
     max_character_distance: float = 0.32
     max_word_distance: float = 0.42
+    max_word_part: float = 0.8  # of the distance of a text without common words, per language
     base_min_words: int = 10
     base_max_repeat_percent: int = 20
     languages: tuple[str, ...] = ("en", "de", "fr", "es")
@@ -102,7 +108,7 @@ def base_counts(text: bytes) -> tuple[list[bytes], int, int, int, int]:
 
 class Judge:
     """References as matrices, one row a language; ``distances`` gives (language, characters,
-    words) of the nearest one."""
+    words, within both limits) of the nearest one."""
 
     def __init__(self, rules: DivergenceRules):
         self.rules = rules
@@ -117,10 +123,13 @@ class Judge:
                 for form in {w, w.capitalize(), w.upper()}:
                     for mark in ("", ".", ",", ";", ":", "!", "?"):
                         self.cells.setdefault((form + mark).encode(), []).append(k * width + i)
+        none = np.zeros_like(self.words)
+        none[:, -1] = 1
+        self.few_words = np.minimum(rules.max_word_distance, rules.max_word_part * js_distance(none, self.words))
         chars = np.array([rules.characters[lang] for lang in rules.languages], dtype=float)
         self.chars = chars / chars.sum(axis=1, keepdims=True)
 
-    def distances(self, text: bytes, words: list[bytes]) -> tuple[str, float, float]:
+    def distances(self, text: bytes, words: list[bytes]) -> tuple[str, float, float, bool]:
         chars = np.bincount(_CLASS, weights=np.bincount(np.frombuffer(text, dtype=np.uint8), minlength=256), minlength=7)
         counted = Counter(words)
         have = [0] * self.words.size
@@ -131,8 +140,9 @@ class Judge:
         found[:, -1] = len(words) - found.sum(axis=1)
         dc = js_distance(np.broadcast_to(chars / chars.sum(), self.chars.shape), self.chars)
         dw = js_distance(found / len(words), self.words)
-        best = int(np.argmin(np.maximum(dc / self.rules.max_character_distance, dw / self.rules.max_word_distance)))
-        return self.rules.languages[best], float(dc[best]), float(dw[best])
+        max_words = np.where(found[:, -1] > len(words) * self.words[:, -1], self.few_words, self.rules.max_word_distance)
+        best = int(np.argmin(np.maximum(dc / self.rules.max_character_distance, dw / max_words)))
+        return self.rules.languages[best], float(dc[best]), float(dw[best]), bool(dc[best] <= self.rules.max_character_distance and dw[best] <= max_words[best])
 
     def row(self, text: bytes | None) -> tuple:
         r = self.rules
@@ -143,8 +153,7 @@ class Judge:
         lang = dc = dw = None
         fits = True
         if n >= r.min_words and len(text) >= r.min_bytes:
-            lang, dc, dw = self.distances(text, words)
-            fits = dc <= r.max_character_distance and dw <= r.max_word_distance
+            lang, dc, dw, fits = self.distances(text, words)
         return n, chars, symbols, dup, repeat, failed, not failed and fits, lang, dc, dw
 
 

@@ -82,6 +82,27 @@ def test_divergence_verdicts(spark):
     assert divergence.js_distance(p, p) == 0 and divergence.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == pytest.approx(1)
 
 
+PROSE = {
+    "en": "The house stood at the end of a long road, and it was known to all of the people in the village that nobody had lived there for many years. On some evenings a light was seen from the fields, but those who went to look came back with nothing to tell. In the spring a young teacher rented it, mended the roof and opened a school for the children of the farms near by.",
+    "de": "Das Haus stand am Ende der langen Straße, und alle Leute in dem Dorf wussten, dass dort seit vielen Jahren niemand mehr wohnte. An manchen Abenden sah man von den Feldern aus ein Licht, aber wer nachsehen ging, kam zurück und hatte nichts zu erzählen. Im Frühling mietete eine junge Lehrerin das Haus, ließ das Dach ausbessern und öffnete die Schule für die Kinder auf den Höfen der Gegend.",
+    "fr": "La maison se trouvait au bout de la longue route, et tous les gens du village savaient que personne ne vivait là depuis des années. Certains soirs on voyait une lumière dans les champs, mais ceux qui allaient voir revenaient sans rien à raconter. Au printemps un jeune maître loua la maison, fit réparer le toit et ouvrit une école pour les enfants des fermes qui sont dans la vallée.",
+    "es": "La casa estaba al final de un largo camino, y toda la gente del pueblo sabía que nadie vivía en ella por muchos años. Algunas noches se veía una luz en los campos, pero los que iban a mirar volvían sin nada que contar. En la primavera una joven maestra alquiló la casa, mandó arreglar el techo y abrió una escuela para los niños de las granjas que había en el valle.",
+}
+
+
+def test_divergence_rejects_text_without_common_words():
+    judge = divergence.Judge(divergence.DivergenceRules())
+    for lang, text in PROSE.items():
+        row = judge.row(text.encode())
+        assert row[0] >= 60 and row[6] and row[7] == lang
+        used = {w for x in divergence.WORDS.values() for w in x.split()[::2]}
+        rare = " ".join(w for w in (text + " " + text[::-1]).split() if w.strip(".,").lower() not in used)
+        row = judge.row(rare.encode())
+        assert row[0] >= 60 and row[8] <= 0.32 and not row[5] and not row[6]
+    listed = " | ".join(f"th{chr(97 + i % 26)}nd{chr(97 + i // 26)}ha" for i in range(120))
+    assert not judge.row(listed.encode())[6]
+
+
 def test_repeats_against_brute_force(spark):
     a = "The quick brown fox jumps over the lazy dog and runs far away into the deep forest, never seen again. "
     b = "".join(f"unique stretch number {i} of a text that nobody else has; " for i in range(6))
