@@ -1,4 +1,4 @@
-"""Connected components of a graph held in tables, by label contraction."""
+"""Connected components of a graph held in tables, by hooking and contraction."""
 
 from __future__ import annotations
 
@@ -8,22 +8,44 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every end of ``edges`` (a, b); label is the least node it reaches.
 
-    Every round takes the least label among a node's neighbours and then follows the label of
-    that label, so stars end after two rounds and chains after logarithmically many. Only one
-    number, how many labels changed, comes to the driver.
+    Every round hooks each node under its least neighbour, if that is smaller, follows these
+    hooks to their roots (in as many steps as the depth has bits) and goes on with the graph
+    of the roots. A root either has taken a neighbour in, or all its neighbours went to smaller
+    roots, so that it goes itself in the next round: two rounds halve the nodes at least,
+    whatever the graph. Only one number, how many labels changed or edges are left, comes to
+    the driver.
     """
-    both = materialize(edges.where("a <> b").select("a", "b").union(edges.where("a <> b").select(F.col("b"), F.col("a"))).toDF("a", "b").distinct(), "edges")
-    labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
-    for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("to"))
-        up = labels.select(F.col("node").alias("to"), F.col("label").alias("jump"))
-        new = step.join(up, "to", "left").select("node", F.least("to", F.coalesce("jump", "to")).alias("label"), (F.least("to", F.coalesce("jump", "to")) < F.col("label")).alias("changed"))
-        labels = materialize(new, "labels")
-        if labels.where("changed").limit(1).count() == 0:
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    left = _halves(edges)
+    rounds: list[DataFrame] = []
+    while left.limit(1).count():
+        both = left.union(left.select("b", "a"))
+        roots = _followed(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")))
+        rounds.append(roots)
+        named = left.join(roots.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(roots.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        left = _halves(named.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    if not rounds:
+        return left.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    labels = rounds.pop()
+    while rounds:  # backwards, as each round has far fewer nodes than the one before
+        tops = labels.select(F.col("node").alias("label"), F.col("label").alias("top"))
+        labels = materialize(rounds.pop().join(tops, "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+    return labels
+
+
+def _halves(edges: DataFrame) -> DataFrame:
+    """Each edge once, from its smaller to its greater end."""
+    return materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+
+
+def _followed(hooks: DataFrame) -> DataFrame:
+    """The root of every node of a forest whose roots are their own labels."""
+    hooks = materialize(hooks, "labels")
+    while True:
+        up = hooks.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        step = materialize(hooks.select("node", "label").join(up, "label").select("node", F.col("up").alias("label"), (F.col("up") < F.col("label")).alias("changed")), "labels")
+        hooks = step.select("node", "label")
+        if step.where("changed").limit(1).count() == 0:
+            return hooks

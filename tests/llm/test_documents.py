@@ -1,12 +1,13 @@
 """Operators over documents: contracts against brute force, and awkward input."""
 
 import hashlib
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
-from quillspark.llm import decontam, divergence, gam, licenses, minhash, mixing, phrases, sharding
+from quillspark.llm import components, decontam, divergence, gam, licenses, minhash, mixing, phrases, sharding
 
 from .helpers import SCHEMA, WORD, awkward, brute_components, brute_repeats, lower, near_copies
 
@@ -195,6 +196,18 @@ def test_near_duplicates_against_brute_force(spark):
     assert (out.kept == (out.index == out.component_id)).all()
 
 
+def test_components_of_long_chains(spark):
+    """Each chain has ids of its own range: shuffled, descending, the least at the far end."""
+    shuffled = list(range(3000))
+    random.Random(4).shuffle(shuffled)
+    chains = [shuffled, list(range(12_999, 9_999, -1)), [*range(20_001, 21_500), 20_000]]
+    edges = [e for c in chains for e in zip(c, c[1:])] + [(30_009, i) for i in range(30_000, 30_009)] + [(7, 7), (40_000, 40_000), (40_001, 40_002), (40_002, 40_001)]
+    out = components.components(spark.createDataFrame(edges, "a long, b long")).toPandas()
+    want = {i: min(c) for c in [*chains, range(30_000, 30_010), [40_001, 40_002]] for i in c}
+    assert len(out) == len(want) and dict(zip(out.node, out.label)) == want
+    assert components.components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_awkward(odd, empty):
     out = minhash.near_duplicates(odd).toPandas()
     assert len(out) == len(awkward())
