@@ -2,9 +2,9 @@
 
 A softmax regression over word n-grams names the licence family of a paragraph, or "unknown";
 a comparison with the family's templates confirms it. Training is a few hundred sentences on
-the driver. The scan itself is expressions and joins: paragraphs without any word that the
-model knows are unknown by construction and leave before anything is exploded, the weights of
-the others' n-grams are summed, and shingles meet the template's.
+the driver. The scan itself is expressions and joins: paragraphs whose words can't add up to any
+family, whatever their order, are unknown by the weights themselves and leave before anything
+is exploded, the weights of the others' n-grams are summed, and shingles meet the template's.
 """
 
 from __future__ import annotations
@@ -93,6 +93,23 @@ class LicenceModel:
         return [v / sum(e) for v in e]
 
 
+def marks(m: LicenceModel) -> list[str]:
+    """Words one of which every paragraph with a family holds. The other words of the
+    vocabulary are too weak for that: all n-grams made of them alone, together, leave every
+    family under the cutoff. Ordinary words are tried first for those."""
+    families = range(len(m.families) - 1)
+    room = [math.log(m.cutoff / (1 - m.cutoff)) - (m.bias[c] - m.bias[-1]) - 1e-6 for c in families]
+    weighed = [(frozenset(g.split()), [max(0.0, w[c] - w[-1]) for c in families]) for g, w in zip(m.vocabulary, m.weights)]
+    ordinary = {w for b in BACKGROUND for w in tokens(b)}
+    most = {w: max(max(v) for g, v in weighed if w in g) for g, _ in weighed for w in g}
+    weak: set[str] = set()
+    for w in sorted(most, key=lambda w: (w not in _STOP, w not in ordinary, most[w], w)):
+        inside = [v for g, v in weighed if g <= weak | {w}]
+        if all(sum(v[c] for v in inside) <= room[c] for c in families):
+            weak.add(w)
+    return sorted(most.keys() - weak)
+
+
 _model: LicenceModel | None = None
 
 
@@ -113,11 +130,12 @@ def paragraphs(docs: DataFrame, m: LicenceModel, confirm: float = 0.5) -> DataFr
     (line) that the model gives a family; ``overlap`` is the part of its word pairs that stand
     in templates of the family, or of one template's pairs that stand in it, if larger."""
     spark = docs.sparkSession
-    known = sorted({w for g in m.vocabulary for w in g.split() if w not in _STOP and not w.isdigit()}, key=lambda w: (len(w), w))
-    # Words that start every family's statements; a paragraph without them has too little.
-    marks = sorted({w for w in known if w in {"mit", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "cc", "commons", "licensed", "license", "spdx", "permission", "redistribution", "redistribute", "reserved", "copyright"}})
+    begin: dict[str, list[str]] = {}
+    for w in marks(m):
+        begin.setdefault(w[0], []).append(w[1:])
+    any_mark = "(?<![a-z0-9])(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in begin.items()) + ")(?![a-z0-9])"
     lines = docs.select("_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.col("line").rlike("(?i)\\b(?:" + "|".join(marks) + ")\\b"))
+    lines = lines.where(F.lower("line").rlike(any_mark))
     words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")
     lines = lines.select("_row", "doc_id", "paragraph", words.alias("w"))
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))

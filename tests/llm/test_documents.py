@@ -243,6 +243,23 @@ def test_licences_against_the_model_itself(spark):
     assert right >= 35
 
 
+def test_licences_of_wrapped_notices(spark):
+    """Every line that the model gives a family is counted, whichever words it has."""
+    m = licenses.model()
+    own = ["to any person obtaining a copy of this software and associated documentation files", "Neither the name of the University nor the names of its contributors may be used to endorse or promote products", "No part of this publication may be reproduced without", "Of any_other publication, SOFTWARE; \u212a", "you may be under the"]
+    given = [t for f in licenses.TEMPLATES.values() for t in f] + licenses.BACKGROUND
+    cut = [" ".join(w[i : i + 8]) for t in given for w in [t.split()] for i in range(0, len(w), 4)]
+    lines = [*own, *cut]
+    at = {g: i for i, g in enumerate(m.vocabulary)}
+    want = []
+    for t in lines:
+        w = licenses.tokens(t)
+        p = m.softmax([at[g] for g in sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}) if g in at])
+        want.append(int(p.index(max(p)) < len(p) - 1 and max(p) >= m.cutoff))
+    out = licenses.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).toPandas().set_index("doc_id").sort_index()
+    assert want[:3] == [1, 1, 1] and (out.n_paragraphs + out.n_unconfirmed).tolist() == want
+
+
 def test_raking_meets_margins():
     cells = [("a", "en", "x", 800), ("a", "de", "x", 100), ("b", "en", "y", 50), ("b", "de", "x", 50), ("b", "de", "y", 200), ("a", "en", "y", 300)]
     want = mixing.MixTarget(shares={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.5, "y": 0.5}}, budget=0.3, rounds=200)
