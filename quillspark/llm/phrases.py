@@ -167,7 +167,9 @@ def _judge(ids, key, body, left, right) -> np.ndarray:
         # own strings are what covers them: both sides of such a group go on.
         greatest = np.maximum.reduceat(ii, np.flatnonzero(start))[np.cumsum(start) - 1]
         flags[np.flatnonzero(several)[o[greatest > least]]] |= bit
-    out[head] |= flags
+    # Rows that repeat the head's document in other segments have the same strings to sort.
+    same = i == i[head][group]
+    out[same] |= flags[group][same]
     verdict = np.empty(len(order), np.uint8)
     verdict[order] = out
     return verdict

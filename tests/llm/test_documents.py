@@ -120,6 +120,20 @@ def test_repeats_across_segments_and_chunks(spark, monkeypatch):
     assert {i: tuple(r) for i, r in zip(out.index, out.itertuples(index=False))} == brute_repeats(rows)
 
 
+def test_repeats_of_a_row_in_two_segments(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "SEGMENT_BYTES", 1)
+    r = random.Random(8)
+    piece = lambda n: "".join(r.choice("abcdefghij klmnopqrstuvwxyz") for _ in range(n))
+    rows, again = [], []
+    for i in range(0, 40, 2):
+        shared = piece(60 + 7 * i)
+        rows.append((i, piece(90) + shared + piece(90)))
+        again.append((i + 1, piece(90) + shared + piece(90)))
+    out = phrases.repeated_strings(spark.createDataFrame(rows + again + again, "doc_id long, text string").coalesce(1)).toPandas()
+    want = brute_repeats(rows + again)
+    assert len(out) == 60 and all(tuple(x[1:]) == want[x[0]] for x in out.itertuples(index=False))
+
+
 def test_repeats_awkward(odd, empty):
     out = phrases.repeated_strings(odd).toPandas()
     assert len(out) == len(awkward())
