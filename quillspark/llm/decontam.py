@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import materialize, table, utf8
 
 WINDOW = 13
 CONTAMINATED_SHARE = 20  # hit words * 20 >= words
@@ -141,6 +141,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         return docs.select("doc_id", "text").mapInArrow(run, _COLUMNS)
     del parts
     keyed = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
+    return _by_row(keyed, benchmark, window, block_bytes).drop("_row")
+
+
+def _by_row(keyed: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """``decontaminate`` of (_row, doc_id, text) block by block, with the row number."""
+    spark = keyed.sparkSession
     found = None
     for items in blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast(items)
@@ -158,7 +164,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
         found = part if found is None else found.unionByName(part)
     grouped = found.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     hit = F.size(F.array_distinct("hits")).cast("long")
-    return grouped.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((hit > 0) & (hit * CONTAMINATED_SHARE >= F.col("n_words"))).alias("contaminated"))
+    return grouped.select("_row", "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((hit > 0) & (hit * CONTAMINATED_SHARE >= F.col("n_words"))).alias("contaminated"))
 
 
 def _limited(it, n):
@@ -171,12 +177,15 @@ def _batch(ids, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``docs`` without contaminated rows, all columns kept; no shuffle and no join."""
-    items = list(_limited(blocks(benchmark), 2))
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without contaminated rows, all columns kept; no shuffle and no join for a
+    benchmark of one block. For a larger one rows are numbered, written and dropped by number,
+    so that each row is judged by its own text there too."""
+    items = list(_limited(blocks(benchmark, block_bytes), 2))
     if len(items) > 1:
-        bad = decontaminate(docs, benchmark, window).where("contaminated").select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti")
+        keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        bad = _by_row(keyed.select("_row", "doc_id", "text"), benchmark, window, block_bytes).where("contaminated").select("_row")
+        return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(items[0] if items else [])
     at = docs.columns.index("text")
 

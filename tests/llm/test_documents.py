@@ -180,6 +180,13 @@ def test_decontamination_without_benchmark(spark, odd, empty):
     assert decontam.keep_clean(empty, none).count() == 0
 
 
+@pytest.mark.parametrize("block", [1 << 20, 40])
+def test_keep_clean_judges_each_row(spark, block):
+    rows = [(None, ITEMS[0][1]), (None, "clean"), (1, ITEMS[0][1]), (1, "clean too")]
+    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert sorted(r.text for r in decontam.keep_clean(docs, items, block_bytes=block).collect()) == ["clean", "clean too"]
+
+
 def test_gam_learns_a_pair_and_scores_all(spark, odd, empty):
     r = np.random.default_rng(1)
     x = r.uniform(size=(1500, 4))
