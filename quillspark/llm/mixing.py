@@ -102,7 +102,9 @@ def _rake_tables(cells: DataFrame, want: MixTarget) -> DataFrame:
     """Raking as joins and sums, for cells that don't fit the driver; each round is written.
     The rate is found from sums as well, capping cells a few times."""
     total = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = materialize(cells.withColumn("w", F.col("tokens") / F.lit(float(max(total, 1)))).withColumn("factor", F.lit(1.0)), "cells")
+    if not total:
+        return cells.select(*MARGINS, F.lit(min(1.0, want.budget)).alias("probability"))
+    now = materialize(cells.withColumn("w", F.col("tokens") / F.lit(float(total))).withColumn("factor", F.lit(1.0)), "cells")
     goal = {}
     for m in MARGINS:
         have = now.groupBy(m).agg(F.sum("w").alias("have"))
@@ -110,7 +112,10 @@ def _rake_tables(cells: DataFrame, want: MixTarget) -> DataFrame:
             raw = have.withColumn("raw", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in asked.items() for x in kv]), F.col(m)), F.lit(0.0)))
         else:
             raw = have.withColumn("raw", F.when(F.col("have") > 0, F.pow("have", F.lit(want.temper.get(m, 1.0)))).otherwise(0.0))
-        s = raw.agg(F.sum("raw")).first()[0] or 1.0
+        raw = raw.withColumn("raw", F.when(F.col("have") > 0, F.col("raw")).otherwise(0.0))
+        s = raw.agg(F.sum("raw")).first()[0]
+        if not s:  # nothing wanted is there: leave the margin as it is
+            raw, s = raw.withColumn("raw", F.col("have")), 1.0
         goal[m] = materialize(raw.select(m, (F.col("raw") / s).alias("goal")), "goal")
     for _ in range(want.rounds):
         for m in MARGINS:

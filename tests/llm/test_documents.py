@@ -307,6 +307,14 @@ def test_mixing_in_tables_is_mixing_in_memory(spark, odd, empty):
     assert mixing.sample(odd).columns == odd.columns
 
 
+@pytest.mark.parametrize("tokens,shares", [(0, {}), (10, {"source": {"nowhere": 1.0}})])
+def test_mixing_in_tables_at_the_edges(spark, tokens, shares):
+    rows = spark.createDataFrame([(i, f"s{i % 2}", "en", "x", tokens * (1 + i % 2)) for i in range(6)], "doc_id long, source string, lang string, topic string, tokens long")
+    want = mixing.MixTarget(shares=shares, rounds=1)
+    a, b = (sorted((r.doc_id, r.probability) for r in mixing.mix(rows, want, driver_cells=n).collect()) for n in (0, 100))
+    assert len(a) == 6 and np.allclose(a, b) and min(p for _, p in a) > 0
+
+
 def test_tokens_are_words(odd):
     got = mixing.described(odd).select("tokens").toPandas().tokens.tolist()
     assert got == [len(WORD.findall(t or "")) for _, t, *_ in awkward()]
