@@ -23,8 +23,12 @@ from .common import materialize, table, utf8
 
 WINDOW = 13
 CONTAMINATED_SHARE = 20  # hit words * 20 >= words
-#: Benchmark bytes in one set of tables; a larger benchmark is searched in so many blocks.
-BLOCK_BYTES = 32 << 20
+#: Shared words that make a passage whatever the length of the document; windows of shorter
+#: items are ordinary phrases and count by their share of the words only.
+PASSAGE_WORDS = 8
+#: Benchmark bytes in one set of tables, which take some 90 times as much in each worker; a
+#: larger benchmark is searched in so many blocks.
+BLOCK_BYTES = 4 << 20
 _WORD = bytes(x if x >= 0x80 or chr(x) in "0123456789abcdefghijklmnopqrstuvwxyz" else x + 32 if 65 <= x <= 90 else 32 for x in range(256))
 
 
@@ -83,17 +87,19 @@ class Search:
                     ids.append(k)
         self.tables = [WuManber(p) for p in classes.values()]
 
-    def scan(self, text: bytes | None) -> tuple[int, np.ndarray | None, list[str]]:
+    def scan(self, text: bytes | None) -> tuple[int, np.ndarray | None, list[str], int]:
+        """(words, which are hit or None, names of the items found, longest window found)."""
         w = words(text)
-        cover = None
+        cover, longest = None, 0
         found: set[int] = set()
         for t in self.tables:
             for start, length, ids in t.find(w):
                 if cover is None:
                     cover = np.zeros(len(w), dtype=bool)
                 cover[start : start + length] = True
+                longest = max(longest, length)
                 found.update(ids)
-        return len(w), cover, sorted({self.names[i] for i in found})
+        return len(w), cover, sorted({self.names[i] for i in found}), longest
 
 
 def verdict(n: int, hit: int, items: list[str]) -> tuple:
@@ -134,18 +140,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
             for b in batches:
                 rows = []
                 for t in utf8(b.column(1)):
-                    n, cover, items = search.scan(t)
+                    n, cover, items, _ = search.scan(t)
                     rows.append(verdict(n, 0 if cover is None else int(cover.sum()), items))
                 yield _batch(b.column(0), rows)
 
         return docs.select("doc_id", "text").mapInArrow(run, _COLUMNS)
     del parts
-    keyed = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    return _by_row(keyed, benchmark, window, block_bytes).drop("_row")
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "rows")
+    return _by_row(keyed, benchmark, window, block_bytes).drop("_row", "longest")
+
+
+_RANGES = pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 
 
 def _by_row(keyed: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """``decontaminate`` of (_row, doc_id, text) block by block, with the row number."""
+    """``decontaminate`` of (_row, doc_id, text) block by block, with the row number and the
+    longest window found. ``keyed`` is a written table, so that all blocks see the same numbers."""
     spark = keyed.sparkSession
     found = None
     for items in blocks(benchmark, block_bytes):
@@ -156,15 +166,30 @@ def _by_row(keyed: DataFrame, benchmark: DataFrame, window: int, block_bytes: in
             for b in batches:
                 rows = []
                 for k, i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
-                    n, cover, items = search.scan(t)
-                    rows.append({"_row": k, "doc_id": i, "n": n, "hits": [] if cover is None else np.nonzero(cover)[0].tolist(), "items": items})
-                yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("_row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
+                    n, cover, items, longest = search.scan(t)
+                    rows.append({"_row": k, "doc_id": i, "n": n, "hits": [] if cover is None else np.nonzero(cover)[0].tolist(), "items": items, "longest": longest})
+                yield pa.RecordBatch.from_pylist(rows, schema=_RANGES)
 
-        part = keyed.mapInArrow(ranges, "_row long, doc_id long, n long, hits array<long>, items array<string>")
+        part = keyed.mapInArrow(ranges, "_row long, doc_id long, n long, hits array<long>, items array<string>, longest long")
         found = part if found is None else found.unionByName(part)
-    grouped = found.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    hit = F.size(F.array_distinct("hits")).cast("long")
-    return grouped.select("_row", "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), ((hit > 0) & (hit * CONTAMINATED_SHARE >= F.col("n_words"))).alias("contaminated"))
+    grouped = found.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.first("n").alias("n_words"),
+        F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("longest").alias("longest"),
+    )
+    hit = F.size("hits").cast("long")
+    return grouped.select(
+        "_row",
+        "doc_id",
+        "n_words",
+        hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        ((hit > 0) & (hit * CONTAMINATED_SHARE >= F.col("n_words"))).alias("contaminated"),
+        "longest",
+    )
 
 
 def _limited(it, n):
@@ -177,15 +202,23 @@ def _batch(ids, rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` without contaminated rows, all columns kept; no shuffle and no join for a
-    benchmark of one block. For a larger one rows are numbered, written and dropped by number,
-    so that each row is judged by its own text there too."""
+def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, passage: int = PASSAGE_WORDS) -> DataFrame:
+    """``docs`` without the rows that hold benchmark text, all columns kept.
+
+    A row goes if a window of at least ``passage`` words occurs in it, however long its text
+    is, or if hit words are a twentieth of its words. Each row is judged by its own text, so
+    null and repeated ids need no rule; rows without text stay, other columns don't matter.
+    No shuffle and no join for a benchmark of one block; for a larger one rows are numbered,
+    written and dropped by number, with the same result.
+    """
     items = list(_limited(blocks(benchmark, block_bytes), 2))
     if len(items) > 1:
-        keyed = materialize(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-        bad = _by_row(keyed.select("_row", "doc_id", "text"), benchmark, window, block_bytes).where("contaminated").select("_row")
-        return keyed.join(bad, "_row", "left_anti").select(*docs.columns)
+        plain = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # no name clashes with ours
+        text = plain.columns[docs.columns.index("text")]
+        keyed = materialize(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
+        judged = _by_row(keyed.select("_row", F.lit(None).cast("long").alias("doc_id"), F.col(text).alias("text")), benchmark, window, block_bytes)
+        bad = judged.where(F.col("contaminated") | (F.col("longest") >= passage)).select("_row")
+        return keyed.join(bad, "_row", "left_anti").drop("_row").toDF(*docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(items[0] if items else [])
     at = docs.columns.index("text")
 
@@ -194,8 +227,8 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bloc
         for b in batches:
             keep = []
             for t in utf8(b.column(at)):
-                n, cover, _ = search.scan(t)
-                keep.append(cover is None or CONTAMINATED_SHARE * int(cover.sum()) < n)
+                n, cover, _, longest = search.scan(t)
+                keep.append(cover is None or longest < passage and CONTAMINATED_SHARE * int(cover.sum()) < n)
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -182,9 +182,12 @@ def test_decontamination_without_benchmark(spark, odd, empty):
 
 @pytest.mark.parametrize("block", [1 << 20, 40])
 def test_keep_clean_judges_each_row(spark, block):
-    rows = [(None, ITEMS[0][1]), (None, "clean"), (1, ITEMS[0][1]), (1, "clean too")]
-    docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(ITEMS, "item_id long, text string")
-    assert sorted(r.text for r in decontam.keep_clean(docs, items, block_bytes=block).collect()) == ["clean", "clean too"]
+    long_text = "pad " * 900
+    rows = [(None, ITEMS[0][1]), (None, "clean"), (1, ITEMS[0][1]), (1, "clean too"), (2, None), (3, ""), (4, long_text + ITEMS[0][1]), (5, long_text + "solo"), (6, "solo act"), (5, long_text)]
+    docs, items = spark.createDataFrame([(*r, 7, "x") for r in rows], "doc_id long, text string, _row int, contaminated string"), spark.createDataFrame(ITEMS, "item_id long, text string")
+    out = decontam.keep_clean(docs, items, block_bytes=block)
+    assert out.columns == docs.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in out.collect()) == [(-1, "clean"), (1, "clean too"), (2, ""), (3, ""), (5, long_text), (5, long_text + "solo")]
 
 
 def test_gam_learns_a_pair_and_scores_all(spark, odd, empty):

@@ -63,7 +63,7 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert ids[1] == {r[0] for r in good.select("doc_id").collect()}
     groups = brute_components([(r[0], r[1]) for r in seen[1].select("doc_id", "text").collect()], k=5)
     assert ids[2] == set(groups.values())
-    bad = decontam.decontaminate(seen[2], spark.read.parquet(f"{sf}/benchmark.parquet")).where("contaminated")
+    bad = decontam.decontaminate(seen[2], spark.read.parquet(f"{sf}/benchmark.parquet")).where("n_hit > 0")
     assert ids[3] == ids[2] - {r[0] for r in bad.select("doc_id").collect()}
     assert ids[4] == {r[0] for r in mixing.mixed_documents(seen[3]).where("kept").collect()}
     assert ids[5] == ids[4] and set(seen[5].columns) >= set(sharding.shard_documents(docs).columns)
