@@ -17,15 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, tag: str) -> str:
     """A fresh path in the folder named by ``spark.checkpoint.dir``.
 
-    Executors can be on other machines, so nothing is ever written beside the driver while
-    that setting is there. Where it is unset (tests on one machine) a temporary folder serves.
-    Hadoop removes the path when the application ends.
+    Executors can be on other machines, so nothing is ever written beside the driver: only a
+    master on this machine (tests) may leave the setting out, which then gets a temporary
+    folder; a cluster without it is an error. Hadoop removes the path when the application ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quillspark-")
-        spark.conf.set("spark.checkpoint.dir", f"file://{base}")
-        base = f"file://{base}"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quillspark-")
+        spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
