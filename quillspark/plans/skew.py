@@ -20,11 +20,14 @@ def hot_keys(rows: DataFrame, keys: list[str], parts: int = PARTS, least: int =
     return hot.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_copies"))
 
 
-def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, least: int = LEAST) -> DataFrame:
+def join_one(many: DataFrame, one: DataFrame, keys: list[str], how: str = "inner", parts: int = PARTS, least: int = LEAST, hot: DataFrame | None = None) -> DataFrame:
     """``many.join(one, keys, how)`` for a ``one`` with at most one row a key: the rows of a
     hot key are dealt over copies of its one row. ``many`` is read three times, so it is
-    a written table or cheap to make; null keys meet nothing and stay (inner joins drop them)."""
-    hot = F.broadcast(hot_keys(many.where(" and ".join(f"`{k}` is not null" for k in keys)), keys, parts, least))
+    a written table or cheap to make; null keys meet nothing and stay (inner joins drop them).
+    ``hot`` may be given where the keys are counted anyway."""
+    if hot is None:
+        hot = hot_keys(many.where(" and ".join(f"`{k}` is not null" for k in keys)), keys, parts, least)
+    hot = F.broadcast(hot)
     others = [c for c in many.columns if c not in keys]
     deal = F.when(F.col("_copies").isNotNull(), F.pmod(F.xxhash64(*others), F.col("_copies"))).otherwise(0)
     left = many.join(hot, keys, "left").withColumn("_salt", deal.cast("int")).drop("_copies")
