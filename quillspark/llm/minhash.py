@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import LEAST, PARTS, join_one
 from .common import materialize, table, utf8
 from .components import components
 
@@ -127,64 +128,90 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(doc_id, items) of the documents in ``ids``, which grow with the corpus and so are never
-    broadcast, at any size."""
+def _sets(docs: DataFrame, active: DataFrame, k: int, repeated: bool) -> DataFrame:
+    """(node, items) of the classes in ``active`` (doc_id, d1, d2, node), which grow with the
+    corpus and so are never broadcast. Of the rows of a document those with the class's own set
+    count, once."""
 
     def run(batches):
-        last, seen = None, set()
         for b in batches:
+            nodes, d1, d2 = (b.column(c).to_pylist() for c in (2, 3, 4))
             at, found = [], []
-            for i, t in zip(b.column(0).to_pylist(), utf8(b.column(1))):
+            for i, t in enumerate(utf8(b.column(1))):
                 s = shingles(t, k)
-                if i != last:
-                    last, seen = i, set()
-                if (key := digest(s)) not in seen:  # a repeated row adds nothing
-                    seen.add(key)
-                    at.append(i)
+                if digest(s) == (d1[i], d2[i]):
+                    at.append(nodes[i])
                     found.append(s.view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["doc_id", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["node", "items"])
 
-    return docs.select("doc_id", "text").join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(run, "doc_id long, items array<long>")
+    got = docs.select("doc_id", "text").join(active, "doc_id").select("doc_id", "text", "node", "d1", "d2").mapInArrow(run, "node long, items array<long>")
+    return got.dropDuplicates(["node"]) if repeated else got
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("sa")), "a")
-    two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("sb")), "b")
+    """The pairs (a, b) whose full sets are similar enough; many may have the same b."""
+    one = materialize(pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("sa")), "a"), "pairs")
+    two = join_one(one, sets.select(F.col("node").alias("b"), F.col("items").alias("sb")), ["b"])
     both = F.size(F.array_intersect("sa", "sb"))
     return two.withColumn("both", both).where(100 * F.col("both") >= percent * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Texts without words are linked with nothing. A null doc_id gets a null component and is
-    kept. Rows that share a doc_id count as one document with several texts. Links are exact
+    kept. Each row is linked by its own text and named by ids: rows that share a doc_id get the
+    components of their texts, which are named by the smallest doc_id in them. Links are exact
     for each pair that shares one of 32 bands of 5 values: two texts of similarity 0.8 miss
     all of them with a probability of 3 in a million.
     """
     signed = materialize(_signed(docs, k), "signed")
     usable = signed.where("n > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.min_by("bands", "doc_id").alias("bands")), "classes")
-    keyed = classes.select(F.explode("bands").alias("key"), "rep")
-    shared = keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top")).where("pivot <> top").select("key", "pivot")
-    members = materialize(keyed.join(shared, "key"), "members")
+    repeated = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    # Classes are numbered in the order of their ids, so the least node has the least id.
+    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = materialize(classes.repartitionByRange("doc_id", "d1", "d2").sortWithinPartitions("doc_id", "d1", "d2").withColumn("node", F.monotonically_increasing_id()), "classes")
+    keyed = classes.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))
+    shared = materialize(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("c")).where("pivot <> top").select("key", "pivot", "c"), "buckets")
+    limit = max(LEAST, (shared.agg(F.sum("c")).first()[0] or 0) / PARTS)
+    hot = shared.where(F.col("c") > limit).select("key", F.ceil(F.col("c") / limit).cast("int").alias("_copies"))
+    members = materialize(join_one(keyed, shared.select("key", "pivot"), ["key"], hot=hot), "members")
     stars = materialize(members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("common")), "stars")
-    labels = None
+    heads = classes.select("d1", "d2", "node", F.col("doc_id").alias("rep"))
     if stars.limit(1).count():
-        active = stars.select(F.col("rep").alias("doc_id")).union(stars.select("pivot")).distinct()
-        sets = materialize(_sets(docs, active, k), "sets")
+        active = stars.select(F.col("rep").alias("node")).union(stars.select("pivot")).distinct()
+        sets = materialize(_sets(docs, classes.select("doc_id", "d1", "d2", "node").join(active, "node", "left_semi"), k, repeated), "sets")
         first = stars.groupBy(F.col("rep").alias("a")).agg(F.max_by("pivot", F.struct("common", -F.col("pivot"))).alias("b"))
         labels = _merge(None, _linked(first, sets, percent))
         labels = _settle(members, labels, sets, percent)
-    named = signed.join(classes.select("d1", "d2", "rep"), ["d1", "d2"], "left").select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    if labels is not None:
-        named = named.join(labels.select(F.col("node").alias("rep"), "label"), "rep", "left").select("doc_id", "n", F.coalesce("label", "rep").alias("rep"))
+        tops = join_one(labels, classes.select(F.col("node").alias("label"), F.col("doc_id").alias("top")), ["label"]).select("node", "top")
+        heads = materialize(heads.join(tops, "node", "left").select("d1", "d2", F.coalesce("top", "rep").alias("rep")), "heads")
+    # A text with a third of all rows as its copies is one class, and one row here.
+    named = join_one(signed.select("doc_id", "n", "d1", "d2"), heads.select("d1", "d2", "rep"), ["d1", "d2"], "left")
+    named = named.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each group of near duplicates, all columns kept: the row with
+    the smallest doc_id (null comes last; of equal ids, one).
+
+    Rows are grouped by their own texts under numbers of their own, so rows that share a doc_id
+    are not one document here, and rows without an id are deduplicated too. Rows without words
+    all stay.
+    """
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name clashes with ours
+    ident, text = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    keyed = materialize(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    grouped = materialize(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), k, percent).where("not kept").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("head")), "groups")
+    several = grouped.union(grouped.select("head", "head").distinct())
+    named = several.join(keyed.select("_row", F.col(ident).alias("id")), "_row")
+    first = named.groupBy("head").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("f"))
+    gone = several.select("_row").join(first.select(F.col("f._row").alias("_row")), "_row", "left_anti")
+    return keyed.join(gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
+
+
 def _label(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
     return df.join(labels.select(F.col("node").alias(node), F.col("label").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
 
@@ -211,8 +238,9 @@ def _settle(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     named = materialize(named.join(mixed, "head", "left_semi").where("rep <> head"), "mixed")
     if named.limit(1).count() == 0:
         return labels
-    one = named.join(sets.select(F.col("doc_id").alias("rep"), F.col("items").alias("s")), "rep")
-    two = one.join(sets.select(F.col("doc_id").alias("head"), F.col("items").alias("p")), "head")
+    one = named.join(sets.select(F.col("node").alias("rep"), F.col("items").alias("s")), "rep")
+    # A head may have most of all outliers, and each row of this join holds a copy of its set.
+    two = join_one(materialize(one, "outliers"), sets.select(F.col("node").alias("head"), F.col("items").alias("p")), ["head"])
     # The head may not be of the bucket itself, but it is a member or pivot of some bucket.
     apart = two.select("head", "rep", "label", F.size("s").alias("n"), F.size("p").alias("m"), F.array_sort(F.array_except("s", "p")).alias("more"), F.array_sort(F.array_except("p", "s")).alias("less"))
     apart = materialize(apart.select("*", (F.size("more") + F.size("less")).alias("d")), "apart")
@@ -223,7 +251,9 @@ def _settle(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int
     # differs from B in no more than that part of theirs. So A and B share more than this many
     # of the places where A differs from P; whole numbers, as one less lets far more through.
     at_least = F.greatest(F.lit(1), F.expr(f"cast((cast(d as bigint) * {100 + percent} + (m - n) * {100 - percent}) div {2 * (100 + percent)} as int) + 1"))
-    rows = apart.join(failed.select("head").distinct(), "head", "left_semi").select("head", "rep", "label", "d", "n", F.size("more").alias("e"), ((F.col("label") != F.col("head")) & ~close).alias("failed"), (F.col("d") - at_least + 1).alias("take"), "more", "less")
+    # Dealt by member, not by head: what follows groups by places of a head or by members.
+    tried = join_one(apart, failed.select("head").distinct(), ["head"])
+    rows = tried.repartition("head", "rep").select("head", "rep", "label", "d", "n", F.size("more").alias("e"), ((F.col("label") != F.col("head")) & ~close).alias("failed"), (F.col("d") - at_least + 1).alias("take"), "more", "less")
     # The order of places: what P lacks, from rare to common in this group (places that no two
     # members share, or none that failed, come first and meet nothing), then what P has.
     own = ["head", "rep", "label", "d", "n", "e", "failed", "take"]

@@ -220,6 +220,28 @@ def test_near_duplicates_against_brute_force(spark):
     assert (out.kept == (out.index == out.component_id)).all()
 
 
+def test_near_duplicates_of_shared_ids(spark):
+    """Rows that share an id are judged by their own texts, and none is lost."""
+    family = [t for _, t in near_copies(6, 60, seed=2)]
+    a, b = family[0], " ".join(f"other{i}" for i in range(50))
+    docs = spark.createDataFrame([(3, a, 1), (5, a, 2), (5, b, 3), (None, b, 4), (None, None, 5), (7, "", 6), (7, b + " more", 7), (5, b, 8)], "doc_id long, text string, node int")
+    out = sorted((r.doc_id or 0, r.component_id or 0) for r in minhash.near_duplicates(docs).collect())
+    assert out == [(0, 0), (0, 0), (3, 3), (5, 3), (5, 5), (5, 5), (7, 5), (7, 7)]
+    kept = minhash.one_of_each(docs, k=2)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (3, a), (5, b), (7, "")]
+
+
+def test_near_duplicates_with_hot_keys_split(spark, monkeypatch):
+    from quillspark.plans import skew
+
+    monkeypatch.setattr(skew.join_one, "__defaults__", ("inner", 20, 3, None))
+    monkeypatch.setattr(minhash, "PARTS", 20)
+    monkeypatch.setattr(minhash, "LEAST", 3)
+    rows = near_copies(80, 70, seed=11) + [(2000 + i, "same text for all of these rows") for i in range(30)]
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).toPandas().set_index("doc_id")
+    assert out.component_id.to_dict() == brute_components(rows)
+
+
 def test_components_of_long_chains(spark):
     """Each chain has ids of its own range: shuffled, descending, the least at the far end."""
     shuffled = list(range(3000))
