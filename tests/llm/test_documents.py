@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from quillspark.llm import components, decontam, divergence, gam, licenses, minhash, mixing, phrases, sharding
 
 from .helpers import SCHEMA, WORD, awkward, brute_components, brute_repeats, lower, near_copies
@@ -306,30 +307,45 @@ def test_licences_of_wrapped_notices(spark):
     assert want[:3] == [1, 1, 1] and (out.n_paragraphs + out.n_unconfirmed).tolist() == want
 
 
-def test_raking_meets_margins():
-    cells = [("a", "en", "x", 800), ("a", "de", "x", 100), ("b", "en", "y", 50), ("b", "de", "x", 50), ("b", "de", "y", 200), ("a", "en", "y", 300)]
-    want = mixing.MixTarget(shares={"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"x": 0.5, "y": 0.5}}, budget=0.3, rounds=200)
-    p = mixing.rake(cells, want)
+@pytest.mark.parametrize("budget", [0.3, 0.66])
+def test_raking_meets_margins(budget):
+    """At 0.66 some cells are taken whole, and the margins hold all the same."""
+    cells = [("a", "en", "x", 800), ("a", "de", "x", 100), ("b", "en", "y", 500), ("b", "de", "x", 500), ("b", "de", "y", 200), ("a", "en", "y", 300)]
+    half = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"x": 0.55, "y": 0.45}}
+    p = mixing.rake(cells, mixing.MixTarget(shares=half, budget=budget, rounds=2000))
     taken = {c[:3]: c[3] * p[c[:3]] for c in cells}
     total = sum(taken.values())
-    assert total == pytest.approx(450)
-    if max(p.values()) < 1:
-        for i in range(3):
-            for v in {c[i] for c in cells}:
-                assert sum(t for c, t in taken.items() if c[i] == v) / total == pytest.approx(0.5, abs=1e-3)
+    assert total == pytest.approx(2400 * budget, rel=1e-4) and max(p.values()) <= 1 and (budget < 0.5 or max(p.values()) == 1)
+    for i, m in enumerate(mixing.MARGINS):
+        for v, share in half[m].items():
+            assert sum(t for c, t in taken.items() if c[i] == v) / total == pytest.approx(share, abs=1e-3)
+
+
+def test_raking_takes_a_scarce_value_whole():
+    p = mixing.rake([("a", "en", "x", 10), ("b", "en", "x", 990)], mixing.MixTarget(shares={"source": {"a": 0.5, "b": 0.5}}, budget=0.5))
+    assert p["a", "en", "x"] == 1 and 0 < p["b", "en", "x"] < 1
+
+
+def test_mixed_documents_meet_margins(spark):
+    rows = mixing.mixed_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    off = mixing.margins(rows).toPandas()
+    assert set(off.margin) == set(mixing.MARGINS) and (off.wanted - off.expected).abs().max() < 1e-3
 
 
 def test_mixing_in_tables_is_mixing_in_memory(spark, odd, empty):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     a = mixing.mix(mixing.described(docs)).select("doc_id", "probability", "kept").toPandas().set_index("doc_id").sort_index()
-    b = mixing.mix(mixing.described(docs), mixing.MixTarget(rounds=3), driver_cells=0).select("doc_id", "probability", "kept").toPandas().set_index("doc_id").sort_index()
-    c = mixing.mix(mixing.described(docs), mixing.MixTarget(rounds=3)).select("doc_id", "probability", "kept").toPandas().set_index("doc_id").sort_index()
+    b = mixing.mix(mixing.described(docs), mixing.MixTarget(rounds=2), driver_cells=0).select("doc_id", "probability", "kept").toPandas().set_index("doc_id").sort_index()
+    c = mixing.mix(mixing.described(docs), mixing.MixTarget(rounds=2)).select("doc_id", "probability", "kept").toPandas().set_index("doc_id").sort_index()
     assert np.allclose(b.probability, c.probability) and (b.kept == c.kept).mean() > 0.99
     assert len(a) == docs.count()
     assert set(mixing.sample(docs).toPandas().doc_id) == set(a[a.kept].index)
     assert mixing.mixed_documents(odd).count() == len(awkward()) and mixing.mixed_documents(empty).count() == 0
     assert mixing.sample(odd).columns == odd.columns
+    clash = odd.withColumn("_source", F.lit("x")).withColumn("probability", F.lit(2.0)).withColumn("topic", F.lit("t")).withColumn("row", F.lit(1))
+    assert mixing.sample(clash).columns == clash.columns
+    assert mixing.mix(clash.withColumn("tokens", F.lit(3)).fillna("", ["source", "lang"])).count() == len(awkward())
 
 
 @pytest.mark.parametrize("tokens,shares", [(0, {}), (10, {"source": {"nowhere": 1.0}})])
