@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.skew import join_one
 from .common import materialize, shared_dir, table, utf8
 
 LEAST_SHARED = 100  # bytes of a payload that is worth a revisit record
@@ -54,17 +55,21 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
 
 def decide(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
     """(page_id, digest, refers_to) of the records that revisit an earlier payload. Only
-    numbers and digests are shuffled; the commonest payload is one row by then."""
+    numbers and digests are shuffled; the pages of a very common payload are dealt over copies
+    of its one row."""
     slim = pages.select("page_id", F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least).where("page_id is not null")
+    slim = materialize(slim.select("page_id", "digest"), "digests")
     first = slim.groupBy("digest").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("other")).where("refers_to <> other").drop("other")
-    return slim.select("page_id", "digest").join(first, "digest").where("page_id <> refers_to").distinct()
+    return join_one(slim, first, ["digest"]).where("page_id <> refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, where: str, least: int = LEAST_SHARED, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Write one record per row of ``pages`` below ``where`` and return the index.
 
-    A task writes to names of its own attempt and renames whole files, so a repeated or
-    speculative attempt leaves the same files. Pages with a null page_id are always responses.
+    A file is named by the attempt that wrote it, so attempts never touch each other's files and
+    the index, which comes from the attempt that counted, always fits its files; those that it
+    doesn't name are left over from repeated attempts. A file gets its name when it is whole.
+    Pages with a null page_id are always responses.
     """
     key = F.sha2(F.coalesce("html", F.lit("")), 256)
     rows = pages.select("page_id", "url", "html", key.alias("digest")).join(decide(pages, least), ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to")
@@ -82,14 +87,14 @@ def write_archives(pages: DataFrame, where: str, least: int = LEAST_SHARED, date
             nonlocal out
             if out is not None:
                 out.close()
-                fs.move(f"{root}/.{attempt}-{name}", f"{root}/{name}")
+                fs.move(f"{root}/.{name}", f"{root}/{name}")
                 out = None
 
         for b in batches:
             for i, url, digest, ref, html in zip(*(b.column(k).to_pylist() for k in (0, 1, 3, 4)), utf8(b.column(2))):
                 if out is None:
                     name, at, count = f"part-{part:06d}-{count:04d}.warc.gz", 0, count + 1
-                    out = fs.open_output_stream(f"{root}/.{attempt}-{name}", compression=None)
+                    out = fs.open_output_stream(f"{root}/.{name}", compression=None)
                 data = _member(_record(i, url, html or b"", digest, ref, date))
                 out.write(data)
                 index.append((i, "response" if ref is None else "revisit", name, at, len(data), url, digest))
@@ -114,7 +119,8 @@ def read_records(index: DataFrame, where: str) -> DataFrame:
     """The records of the selected ``index`` rows: page_id, record_type, url, digest,
     refers_to, payload_bytes, intact (the payload's digest holds; null for revisits), html.
 
-    Neighbours less than 64 KB apart within the same 4 MB of a file are one read.
+    Neighbours less than 64 KB apart within the same 4 MB of a file are one read. Index columns
+    other than file, offset and length don't matter; no rows give no rows.
     """
     place = Window.partitionBy("file").orderBy("offset")
     gap = F.col("offset") - F.coalesce(F.lag(F.col("offset") + F.col("length")).over(place), F.lit(0))
@@ -152,7 +158,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     index = write_archives(pages, where)
     back = materialize(read_records(index, where).drop("html", "url"), "warc-records")
     sizes = back.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "digest").agg(F.first("payload_bytes").alias("_bytes"), F.first("intact").alias("_intact"))
-    out = back.join(sizes, ["refers_to", "digest"], "left")
+    out = join_one(back, sizes, ["refers_to", "digest"], "left")
     return out.select("page_id", F.coalesce("payload_bytes", "_bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", "refers_to", F.coalesce("intact", "_intact").alias("intact"))
 
 
