@@ -1,9 +1,9 @@
 """A recovering parser for one document of backslash markup.
 
 Tokens are read where the parser stands, so going back is standing elsewhere, and a run of text
-is one match however many words it has. Blocks are read by one loop, inline content by another that works on the container being filled; what
-ends a container is returned as a closer for its owner to deal with. Nothing raises on any
-input: what can't be read leaves a diagnostic.
+is one match however many words it has. Blocks are read by one loop, inline content by another
+that works on the container being filled; what ends a container is returned as a closer for its
+owner to deal with. Nothing raises on any input: what can't be read leaves a diagnostic.
 """
 
 from __future__ import annotations
@@ -11,10 +11,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+import numpy as np
+
 from .books import parse_numbers, show_numbers, well_formed
 from .codes import CODES
 from .style import Sheet, Style, default_sheet
-from .tree import SYNTHETIC, WS, Node, collapse, text
+from .tree import MAX_DEPTH, SYNTHETIC, WS, Node, collapse, text
 
 (MARKER, MEND, ESCAPE, SLASH, WORD, SPACE, STAR, BREAK, PIPE, EQUAL, QUOTE, EOF) = range(12)
 _TEXT = frozenset((WORD, SPACE, STAR, EQUAL, QUOTE))
@@ -91,6 +93,7 @@ class Parser:
         self.ends = ends
         self.found: list[Diagnostic] = []
         self.open: list[tuple[str, bool]] = []
+        self.too_deep: list[str] = []  # markers that opened nothing
         self.notes = 0
         self.cell = self.title = self.line = False
         self.text_type = "other"
@@ -662,6 +665,14 @@ class Parser:
             else:
                 self.unknown(name, closing, span)
             return None
+        if closing and self.too_deep and self.too_deep[-1] == name:
+            self.too_deep.pop()
+            return None
+        if not closing and len(self.open) >= MAX_DEPTH and style.kind in ("note", "character") and name != "v":
+            if not self.too_deep:
+                self.say("internal", span, f"\\{name} is nested more than {MAX_DEPTH} deep; its content is read in its place")
+            self.too_deep.append(name)
+            return None
         if closing:
             if style.kind == "paragraph":
                 self.say("paragraph-marker-closed", span, f"\\{name} is a paragraph marker; \\{name}* closes nothing")
@@ -671,6 +682,7 @@ class Parser:
                 self.say("unmatched-closing-marker", span, f"\\{name}* has no \\{name} to close")
             return None
         if style.kind == "paragraph":
+            self.too_deep.clear()
             return "para", name, span
         if style.kind == "note":
             return self.note(ctx, name, span)
@@ -1045,17 +1057,17 @@ def parse(source: str, sheet: Sheet | None = None, ends: bool = True) -> Documen
 
 
 class ByteOffsets:
-    """Byte offset of a character offset of one text."""
+    """Byte offset of a character offset of one text; ``many`` maps a list of them at once."""
 
     def __init__(self, source: str):
         self.table = None
         if not source.isascii():
-            at, table = 0, [0]
-            for c in source:
-                o = ord(c)
-                at += 1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4
-                table.append(at)
-            self.table = table
+            points = np.frombuffer(source.encode("utf-32-le", "surrogatepass"), "<u4")
+            self.table = np.zeros(len(points) + 1, np.int64)
+            np.cumsum(1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), out=self.table[1:])
 
     def __call__(self, i: int) -> int:
-        return i if self.table is None else self.table[i]
+        return i if self.table is None else int(self.table[i])
+
+    def many(self, offsets: list[int]) -> list[int]:
+        return offsets if self.table is None or not offsets else self.table[offsets].tolist()

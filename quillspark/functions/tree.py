@@ -3,7 +3,12 @@
 from __future__ import annotations
 
 import re
+import sys
 
+#: Levels of a tree. What is nested deeper is read into the last of them with a diagnostic, so
+#: no document can exhaust the stack of a reader, walk or writer.
+MAX_DEPTH = 400
+sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * MAX_DEPTH + 1000))
 WS = " \t\n\f\r"
 _RUN = re.compile("[ \t\n\f\r]+")
 SYNTHETIC = (0, 0)

@@ -12,7 +12,7 @@ from xml.parsers import expat
 from .books import parse_numbers, show_numbers, well_formed
 from .parser import Diagnostic, Document, Verse, cell_info, leading_zero
 from .style import Sheet, Style, default_sheet
-from .tree import WS, Node, collapse, text
+from .tree import MAX_DEPTH, WS, Node, collapse, text
 
 _INLINE = frozenset("verse char note figure ref optbreak".split())
 _BLOCK = frozenset("book chapter para table row cell sidebar periph".split())
@@ -31,20 +31,32 @@ class Element:
 
 def read_xml(source: str) -> tuple[Element | None, tuple[int, str] | None]:
     """The root element with byte spans, or the offset and message of the first error. Text is
-    an element without a name; neighbouring pieces are one, comments and instructions none."""
+    an element without a name; neighbouring pieces are one, comments and instructions none.
+    Elements nested too deep are left out and their text is their parent's; then the offset and
+    message of the first one come with the root."""
     data = source.encode()
     p = expat.ParserCreate(encoding="utf-8")
     p.ordered_attributes = True
     p.buffer_text = False
     stack: list[Element] = []
     root: list[Element] = []
+    below, first_deep = 0, None
 
     def start(name, attributes):
+        nonlocal below, first_deep
+        if len(stack) >= MAX_DEPTH:
+            below += 1
+            first_deep = first_deep or (p.CurrentByteIndex, f"<{name}> is nested more than {MAX_DEPTH} deep; its text is read in its place")
+            return
         e = Element(name.rpartition(":")[2], dict(zip(attributes[::2], attributes[1::2])), p.CurrentByteIndex)
         (stack[-1].children if stack else root).append(e)
         stack.append(e)
 
     def end(_):
+        nonlocal below
+        if below:
+            below -= 1
+            return
         e = stack.pop()
         at = p.CurrentByteIndex
         close = data.find(b">", at)
@@ -64,7 +76,7 @@ def read_xml(source: str) -> tuple[Element | None, tuple[int, str] | None]:
         p.Parse(data, True)
     except expat.ExpatError as e:
         return None, (min(p.ErrorByteIndex, len(data)) if p.ErrorByteIndex >= 0 else 0, str(e))
-    return root[0], None
+    return root[0], first_deep
 
 
 class Reader:
@@ -545,6 +557,14 @@ def trim(box: Node) -> None:
             box.children.pop(i - 1)
 
 
+def _elements(root: Element):
+    stack = [root]
+    while stack:
+        e = stack.pop()
+        yield e
+        stack.extend(c for c in e.children if c.name)
+
+
 def read_usx(source: str, sheet: Sheet | None = None, ends: bool = True) -> Document:
     """Never fails: XML that is not well formed gives an empty document and a diagnostic.
     Spans are bytes of the XML already, so ``source`` of the result is their plain ruler."""
@@ -555,10 +575,9 @@ def read_usx(source: str, sheet: Sheet | None = None, ends: bool = True) -> Docu
         reader.found.append(Diagnostic("usx-not-well-formed", error[0], error[0], f"not well-formed XML: {error[1]}"))
     else:
 
-        def any_eid(e):
-            return e.name in ("verse", "chapter") and e.get("eid") is not None or any(any_eid(c) for c in e.children if c.name)
-
-        reader.eids = any_eid(root)
+        if error is not None:
+            reader.found.append(Diagnostic("internal", error[0], error[0], error[1]))
+        reader.eids = any(e.name in ("verse", "chapter") and e.get("eid") is not None for e in _elements(root))
         blocks = reader.document(root)
     reader.found.sort(key=lambda d: d.start)
     return Document(blocks, reader.found, reader.sheet, "")

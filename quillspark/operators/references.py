@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import BookNames, CitationFormat, parse_citations, parse_link
-from .checks import with_context
 from .text import plain
 
 _PLACE = "book string, chapter long, verse long, part string, end_chapter long, end_verse long, end_part string, at_start int, at_end int"
@@ -22,19 +21,25 @@ def _rows(found) -> list[dict]:
     return out
 
 
+#: The columns of the node table that this module reads.
+FIELDS = ("seq", "kind", "marker", "content", "code", "number", "attributes", "note", "chars", "block", "span_start", "span_end")
+
+
 def styled_text(nodes: DataFrame, marker: str) -> DataFrame:
-    """(doc_id, seq, text, attributes, book, chapter, span_start, span_end) of each outermost
-    character style ``marker``; a style of the same name inside is part of it. Texts join their
-    style by the interval of its node numbers."""
-    rows = with_context(nodes)
-    own = rows.where((F.col("kind") == "char") & (F.col("marker") == marker) & ~F.array_contains("chars", marker))
-    own = own.select("doc_id", "seq", "seq_end", "attributes", "book", "chapter", "span_start", "span_end", F.col("note").isNotNull().alias("noted"))
-    inner = nodes.where(F.array_contains("chars", marker) & (F.col("kind") == "text")).select("doc_id", F.col("seq").alias("t_seq"), "block", "content")
-    # The style is the last one begun before the text, as these styles don't nest here.
-    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    both = own.select("doc_id", "seq", F.lit(None).cast("int").alias("block"), F.lit(None).cast("string").alias("content"), F.col("seq").alias("of")).unionByName(inner.select("doc_id", F.col("t_seq").alias("seq"), "block", "content", F.lit(None).cast("int").alias("of")))
-    texts = both.withColumn("of", F.last("of", ignorenulls=True).over(w)).where("content is not null").groupBy("doc_id", F.col("of").alias("seq")).agg(plain(F.sort_array(F.collect_list(F.struct("seq", "block", "content")))).alias("text"))
-    return own.join(texts, ["doc_id", "seq"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    """(doc_id, seq, text, attributes, book, chapter, span_start, span_end, noted) of each
+    outermost character style ``marker``; a style of the same name inside is part of it. One
+    pass: such styles don't nest, so a text belongs to the last one begun before it."""
+    own = (F.col("kind") == "char") & (F.col("marker") == marker) & ~F.array_contains("chars", marker)
+    inside = (F.col("kind") == "text") & F.array_contains("chars", marker)
+    rows = nodes.select(*(c for c in nodes.columns if c in ("doc_id", *FIELDS)), own.alias("own"), inside.alias("inside")).where("own or inside or kind in ('book', 'chapter_start')")
+    w = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begun = F.when(F.col("kind") == "book", F.struct(F.lit(None).cast("string").alias("n"))).when(F.col("kind") == "chapter_start", F.struct(F.col("number").alias("n")))
+    rows = rows.select("*", F.last("code", ignorenulls=True).over(w).alias("book"), F.last(begun, ignorenulls=True).over(w)["n"].alias("chapter"), F.last(F.when(F.col("own"), F.col("seq")), ignorenulls=True).over(w).alias("of"))
+    kept = ("attributes", "book", "chapter", "span_start", "span_end")
+    head = F.first(F.when(F.col("own"), F.struct(*kept, F.col("note").isNotNull().alias("noted"))), ignorenulls=True)
+    text = plain(F.sort_array(F.collect_list(F.when(F.col("inside"), F.struct("seq", "block", "content")))))
+    out = rows.where("own or inside").groupBy("doc_id", F.col("of").alias("seq")).agg(head.alias("h"), text.alias("text"))
+    return out.where("h is not null").select("doc_id", "seq", "text", *(f"h.{k}" for k in kept), "h.noted")
 
 
 def _named(attribute: str) -> Column:
@@ -71,13 +76,20 @@ def glossary(nodes: DataFrame) -> DataFrame:
     return k.withColumn("nth", F.row_number().over(Window.partitionBy("normal").orderBy("doc_id", "seq")))
 
 
+def first_entries(entries: DataFrame) -> DataFrame:
+    """(normal, entry_doc, entry_seq): the entry that counts for each term. A least value, so
+    that a term with many entries is one row for each task before it is shuffled."""
+    first = entries.groupBy("normal").agg(F.min(F.struct("doc_id", "seq")).alias("f"))
+    return first.select("normal", F.col("f.doc_id").alias("entry_doc"), F.col("f.seq").alias("entry_seq"))
+
+
 def glossary_words(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """Words (\\w) with their entry, null where unresolved. The lemma counts if it isn't blank,
-    else the text. A plain equi-join: a glossary can be large."""
+    else the text. A plain equi-join, as a glossary can be large: the engine broadcasts it where
+    it measures it as small, and splits a frequent word's partition where it doesn't."""
     lemma = _named("lemma")
     w = styled_text(nodes, "w").withColumn("term", F.when(F.trim(F.regexp_replace(lemma, r"(?U)\s+", " ")) != "", lemma).otherwise(F.col("text"))).select("doc_id", "seq", F.trim(F.regexp_replace("term", r"(?U)\s+", " ")).alias("term"), normal_term(F.col("term")).alias("normal"), "span_start", "span_end")
-    first = entries.where("nth = 1").select("normal", F.col("doc_id").alias("entry_doc"), F.col("seq").alias("entry_seq"))
-    return w.join(first, "normal", "left")
+    return w.join(first_entries(entries), "normal", "left")
 
 
 def unresolved(words: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.style import Sheet, sheet_table
 
+#: The columns of the node table that texts and sections are made of.
+FIELDS = ("seq", "kind", "content", "para", "note", "chars", "block", "direct")
 _WS = " \t\n\f\r"
 _PUNCT = r""".?!,۔؟“”"'‘’،:;\(\)"""
 _OPEN = r""""'”“‘’\("""
@@ -29,15 +31,15 @@ def plain(parts: Column, separator: str = " ") -> Column:
 def document_text(nodes: DataFrame, notes: bool = False, keep_para: Column | None = None, drop_chars: list[str] | None = None, separator: str = " ") -> DataFrame:
     """(doc_id, text). ``keep_para`` is a condition over the style of the paragraph (marker as
     ``para``); ``drop_chars`` are character styles whose content is left out."""
-    rows = nodes.where("kind = 'text'")
+    kept = F.col("kind") == "text"
     if not notes:
-        rows = rows.where("note is null")
+        kept &= F.col("note").isNull()
     if keep_para is not None:
-        rows = rows.where(keep_para)
+        kept &= F.coalesce(keep_para, F.lit(False))
     if drop_chars:
-        rows = rows.where(~F.arrays_overlap("chars", F.array(*map(F.lit, drop_chars))))
-    text = rows.groupBy("doc_id").agg(plain(F.sort_array(F.collect_list(F.struct("seq", "block", "content"))), separator).alias("text"))
-    return nodes.select("doc_id").distinct().join(text, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        kept &= ~F.coalesce(F.arrays_overlap("chars", F.array(*map(F.lit, drop_chars))), F.lit(False))
+    parts = F.sort_array(F.collect_list(F.when(kept, F.struct("seq", "block", "content"))))
+    return nodes.groupBy("doc_id").agg(plain(parts, separator).alias("text"))
 
 
 def cut(text: Column) -> Column:

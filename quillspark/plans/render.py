@@ -26,7 +26,7 @@ def per_text(docs: DataFrame, function, out: str = "value") -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([function(t or "") for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", out])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id string, {out} string")
+    return markup.dealt(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id string, {out} string")
 
 
 def render(docs: DataFrame, form: str, source: str = "usfm", sheet: Sheet | None = None, rules: str | None = None) -> DataFrame:
@@ -65,7 +65,7 @@ def prompts(woven: DataFrame) -> DataFrame:
 
 def diagnosed(docs: DataFrame, sheet: Sheet | None = None, lint: dict[str, str] | None = None, source: str = "usfm") -> DataFrame:
     """Diagnostics of parser and checks together, after lint levels."""
-    parsed = markup.parsed(docs, sheet, reader=READERS[source])
+    parsed = markup.stored(markup.parsed(docs, sheet, reader=READERS[source]))
     found = markup.parser_diagnostics(parsed).unionByName(checks.analyze(markup.nodes(parsed), parsed.select("doc_id", "length"), sheet))
     return diagnostics.apply_lint(found, lint or {})
 

@@ -33,12 +33,17 @@ def verse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("\\id XXA wrapped\n\\c 1\n\\p\n"), F.array_join(lines, "\n")).alias("text"))
 
 
-def _verse_nodes(spark, sf_dir) -> DataFrame:
-    return markup.nodes(markup.parsed(verse_documents(spark, sf_dir)))
+def _verse_nodes(spark, sf_dir, fields) -> DataFrame:
+    return markup.nodes(markup.parsed(verse_documents(spark, sf_dir), fields=fields, diagnostics=False))
+
+
+def _stored_nodes(docs: DataFrame, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """Nodes for a plan of several branches: parsed once."""
+    return markup.nodes(markup.stored(markup.parsed(docs, fields=fields, diagnostics=False)))
 
 
 def verse_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = index.verse_text(_verse_nodes(spark, sf_dir))
+    out = index.verse_text(_verse_nodes(spark, sf_dir, index.VERSE_FIELDS))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "book", "chapter", "number", "text")
 
 
@@ -51,7 +56,7 @@ SELECT doc_id, 'XXA' AS book, 1::BIGINT AS chapter, n::VARCHAR AS number,
 
 
 def document_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = text.document_text(_verse_nodes(spark, sf_dir))
+    out = text.document_text(_verse_nodes(spark, sf_dir, text.FIELDS))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("digest"))
 
 
@@ -63,7 +68,7 @@ SELECT doc_id, length(t)::BIGINT AS n_chars, sha256(t) AS digest FROM t
 
 def pipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diagnostics by document and code: every pipe in running text is one."""
-    found = markup.parser_diagnostics(markup.parsed(verse_documents(spark, sf_dir)))
+    found = markup.parser_diagnostics(markup.parsed(verse_documents(spark, sf_dir), fields=()))
     return found.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -73,7 +78,7 @@ PIPES = "SELECT doc_id, 'unexpected-pipe' AS code, 'error' AS severity, (length(
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line and column of every diagnostic of the wrapped documents."""
     docs = verse_documents(spark, sf_dir)
-    found = diagnostics.located(markup.parser_diagnostics(markup.parsed(docs)), docs)
+    found = diagnostics.located(markup.parser_diagnostics(markup.parsed(docs, fields=())), docs)
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("line").cast("long").alias("line"), F.col("column").cast("long").alias("column"), "code")
 
 
@@ -96,7 +101,7 @@ def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings by document and code of chapters and verses out of order."""
-    found = checks.analyze(markup.nodes(markup.parsed(order_documents(spark, sf_dir))))
+    found = checks.analyze(_stored_nodes(order_documents(spark, sf_dir)))
     return found.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "code").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -121,7 +126,7 @@ def range_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def range_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = checks.analyze(markup.nodes(markup.parsed(range_documents(spark, sf_dir)))).where("code = 'duplicate-verse-number'")
+    found = checks.analyze(_stored_nodes(range_documents(spark, sf_dir))).where("code = 'duplicate-verse-number'")
     return found.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -145,7 +150,7 @@ def fault_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribute_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = checks.analyze(markup.nodes(markup.parsed(fault_documents(spark, sf_dir))))
+    found = checks.analyze(_stored_nodes(fault_documents(spark, sf_dir)))
     return found.select(F.col("doc_id").cast("long").alias("doc_id"), "code", "severity")
 
 
@@ -164,7 +169,7 @@ def table_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = checks.analyze(markup.nodes(markup.parsed(table_documents(spark, sf_dir)))).where("code = 'unexpected-table-column'")
+    found = checks.analyze(_stored_nodes(table_documents(spark, sf_dir))).where("code = 'unexpected-table-column'")
     return found.select(F.col("doc_id").cast("long").alias("region"), "message")
 
 
@@ -205,8 +210,8 @@ def _term_documents(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document with the entry that resolves them, and how often."""
     entries_docs, word_docs = _term_documents(spark, sf_dir)
-    entries = references.glossary(markup.nodes(markup.parsed(entries_docs)))
-    words = references.glossary_words(markup.nodes(markup.parsed(word_docs)), entries)
+    entries = references.glossary(markup.nodes(markup.parsed(entries_docs, fields=references.FIELDS, diagnostics=False)))
+    words = references.glossary_words(markup.nodes(markup.parsed(word_docs, fields=references.FIELDS, diagnostics=False)), entries)
     return words.groupBy(F.col("doc_id").cast("long").alias("doc"), "normal", "entry_doc").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -219,7 +224,7 @@ SELECT w.doc, w.normal, e.p_brand AS entry_doc, count(*)::BIGINT AS n FROM w LEF
 
 def glossary_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that repeat an earlier term."""
-    entries = references.glossary(markup.nodes(markup.parsed(_term_documents(spark, sf_dir)[0])))
+    entries = references.glossary(markup.nodes(markup.parsed(_term_documents(spark, sf_dir)[0], fields=references.FIELDS, diagnostics=False)))
     return entries.where("nth > 1").groupBy("normal").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -235,7 +240,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = docs.select(F.col("o_custkey").cast("string").alias("doc_id"), F.concat(F.lit("\\id EXO\n\\c 1\n\\p "), F.array_join(F.transform("xs", lambda x: x["x"]), " ")).alias("text"))
     names = BookNames(codes=True)
     names.add("Genesis", "GEN")
-    found = references.cross_references(markup.nodes(markup.parsed(docs)), names=names)
+    found = references.cross_references(markup.nodes(markup.parsed(docs, fields=references.FIELDS, diagnostics=False)), names=names)
     return found.groupBy(F.col("doc_id").cast("long").alias("doc"), "book", "chapter", "verse", F.coalesce("end_verse", F.lit(0)).alias("end_verse")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -267,7 +272,7 @@ ROUND_TRIP = "SELECT doc_id, 'True True' AS same FROM documents"
 def usx_verses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text of every verse, read from the USX of the document."""
     xml = render.render(verse_documents(spark, sf_dir), "usx").withColumnRenamed("value", "text")
-    out = index.verse_text(markup.nodes(markup.parsed(xml, reader=usx.read_usx)))
+    out = index.verse_text(markup.nodes(markup.parsed(xml, reader=usx.read_usx, fields=index.VERSE_FIELDS, diagnostics=False)))
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "book", "chapter", "number", "text")
 
 
@@ -322,7 +327,7 @@ REPLACED = None
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of the order documents in the outline, with their span in bytes."""
-    rows = index.symbols(markup.nodes(markup.parsed(order_documents(spark, sf_dir)))).where("kind = 'chapter'")
+    rows = index.symbols(_stored_nodes(order_documents(spark, sf_dir))).where("kind = 'chapter'")
     return rows.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.count(F.lit(1)).alias("chapters"), F.sum(F.col("end") - F.col("start")).alias("bytes"), F.min(F.col("end") - F.col("start")).alias("least"))
 
 
@@ -336,7 +341,7 @@ SELECT doc_id, count(*)::BIGINT AS chapters, sum(n)::BIGINT AS bytes, min(n)::BI
 
 def found_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands inside every verse number 3 of the order documents, and its reference."""
-    nodes = markup.nodes(markup.parsed(order_documents(spark, sf_dir)))
+    nodes = _stored_nodes(order_documents(spark, sf_dir))
     starts = nodes.where("kind = 'verse_start' and number = '3'").select("doc_id", (F.col("span_start") + 1).alias("offset"))
     got = index.locate(nodes, starts)
     return got.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "kind", "book", "verse").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chapter").cast("long")).alias("chapters"))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parser import ByteOffsets, Document, parse
 from ..functions.style import Sheet
+from ..plans.stored import materialize
 
 RANGE = pa.struct([("start", pa.int64()), ("start_part", pa.string()), ("end", pa.int64()), ("end_part", pa.string())])
 ATTRIBUTE = pa.struct([("name", pa.string()), ("value", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
@@ -31,7 +32,6 @@ NODE = pa.struct(
     + [("para", pa.string()), ("note", pa.string()), ("in_cell", pa.bool_()), ("in_char", pa.bool_()), ("char_depth", pa.int32()), ("chars", pa.list_(pa.string())), ("block", pa.int32()), ("direct", pa.bool_())]
 )
 FOUND = pa.struct([("span_start", pa.int64()), ("span_end", pa.int64()), ("severity", pa.string()), ("code", pa.string()), ("message", pa.string()), ("seq", pa.int32())])
-PARSED = pa.schema([("doc_id", pa.string()), ("nodes", pa.list_(NODE)), ("diagnostics", pa.list_(FOUND)), ("length", pa.int64())])
 _SQL = {pa.string(): "string", pa.int32(): "int", pa.int64(): "bigint", pa.bool_(): "boolean"}
 _FIELDS = [f.name for f in NODE]
 
@@ -44,47 +44,50 @@ def _ddl(t: pa.DataType) -> str:
     return _SQL[t]
 
 
-PARSED_DDL = ", ".join(f"{f.name} {_ddl(f.type)}" for f in PARSED)
-
-
-_DENSE = ("seq", "seq_end", "path", "depth", "kind", "marker", "content", "span_start", "span_end", "para", "note", "in_cell", "in_char", "char_depth", "chars", "block", "direct")
-_SPARSE = tuple(f for f in _FIELDS if f not in _DENSE)
+#: What a walk knows of every node, in the order of its row tuples; other fields are null on most
+#: nodes and are kept by row number until the arrays are made.
+_DENSE = ("seq", "path", "depth", "kind", "marker", "content", "para", "note", "in_cell", "in_char", "char_depth", "chars", "block", "direct")
 
 
 class NodeColumns:
-    """Nodes of many documents, column by column; most fields are null on most nodes and are
-    kept by row number until the arrays are made."""
-
-    def __init__(self):
-        self.dense: dict[str, list] = {f: [] for f in _DENSE}
-        self.sparse: dict[str, dict[int, object]] = {f: {} for f in _SPARSE}
+    """Nodes of many documents as the columns ``fields`` of the node table."""
+
+    def __init__(self, fields: tuple[str, ...] = tuple(_FIELDS)):
+        self.fields = [f for f in NODE if f.name in fields]
+        self.rows: list[tuple] = []
+        self.ends: list[int] = []
+        self.spans: tuple[list, list] = ([], [])
+        self.sparse: dict[str, dict[int, object]] = {f.name: {} for f in self.fields if f.name not in (*_DENSE, "seq_end", "span_start", "span_end")}
         self.offsets = [0]
 
     def add(self, doc: Document) -> None:
         at = ByteOffsets(doc.source)
-        d, sparse = self.dense, self.sparse
-        push = [d[f].append for f in _DENSE if f != "seq_end"]
-        ends = d["seq_end"]
-        base = len(ends)
-
-        def visit(node, path, para, note, cell, in_char, depth, chars, block):
-            row = len(ends)
-            seq = row - base
+        rows, ends, sparse = self.rows, self.ends, self.sparse
+        base = len(rows)
+        starts, stops, above = [], [], []  # ``above``: (row, depth) of nodes not yet left
+        stack = [(b, [i], None, None, False, False, 0, [], None) for i, b in reversed(list(enumerate(doc.blocks)))]
+        while stack:
+            node, path, para, note, cell, in_char, depth, chars, block = stack.pop()
+            row = len(rows)
+            seq, level, kind = row - base, len(path), node.kind
+            rows.append((seq, path, level, kind, node.marker, node.content, para, note, cell, in_char, depth, chars, block, level == 2 and para is not None))
             ends.append(seq)
-            kind = node.kind
-            for f, v in zip(push, (seq, path, len(path), kind, node.marker, node.content, at(node.start), at(node.end), para, note, cell, in_char, depth, chars, block, len(path) == 2 and para is not None)):
-                f(v)
-            for k, v in node.data.items():
-                if k == "ranges":
-                    sparse[k][row] = [{"start": r.start, "start_part": r.start_part, "end": r.end, "end_part": r.end_part} for r in v]
-                elif k in sparse and v is not None:
-                    sparse[k][row] = v
+            starts.append(node.start)
+            stops.append(node.end)
+            while above and above[-1][1] >= level:
+                ends[above.pop()[0]] = seq - 1
+            if node.data:
+                for k, v in node.data.items():
+                    if k in sparse and v is not None:
+                        sparse[k][row] = [{"start": r.start, "start_part": r.start_part, "end": r.end, "end_part": r.end_part} for r in v] if k == "ranges" else v
             if node.attributes is not None:
-                sparse["attributes"][row] = [{"name": n, "value": v, "start": at(a), "end": at(b)} for n, v, a, b in node.attributes]
-                if node.pipe is not None:
+                if "attributes" in sparse:
+                    sparse["attributes"][row] = [{"name": n, "value": v, "start": at(a), "end": at(b)} for n, v, a, b in node.attributes]
+                if node.pipe is not None and "pipe_start" in sparse:
                     sparse["pipe_start"][row] = at(node.pipe)
             if not node.children:
-                return
+                continue
+            above.append((row, level))
             if kind == "para":
                 para, note, cell, in_char, depth, chars, block = node.marker, None, False, False, 0, [], seq
             elif kind == "cell":
@@ -95,34 +98,39 @@ class NodeColumns:
                 note, in_char, block = node.marker, False, seq
             elif kind in ("sidebar", "periph", "table", "row"):
                 para = note = None
-            for i, c in enumerate(node.children):
-                visit(c, [*path, i], para, note, cell, in_char, depth, chars, block)
-            ends[row] = len(ends) - 1 - base
-
-        for i, b in enumerate(doc.blocks):
-            visit(b, [i], None, None, False, False, 0, [], None)
-        self.offsets.append(len(ends))
+            i = len(node.children)
+            for c in reversed(node.children):
+                i -= 1
+                stack.append((c, [*path, i], para, note, cell, in_char, depth, chars, block))
+        for row, _ in above:
+            ends[row] = len(rows) - 1 - base
+        self.spans[0].extend(at.many(starts))
+        self.spans[1].extend(at.many(stops))
+        self.offsets.append(len(rows))
 
     def array(self) -> pa.Array:
-        n = len(self.dense["seq"])
+        n = len(self.rows)
+        dense = dict(zip(_DENSE, zip(*self.rows))) if n else {}
+        dense |= {"seq_end": self.ends, "span_start": self.spans[0], "span_end": self.spans[1]}
         arrays = []
-        for f in NODE:
-            values = self.dense.get(f.name)
-            if f.name in ("path", "chars"):
-                offsets = np.zeros(n + 1, np.int32)
-                np.cumsum([len(v) for v in values], out=offsets[1:])
-                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(values)), f.type.value_type)))
-                continue
-            if values is None:
-                some = self.sparse[f.name]
+        for f in self.fields:
+            some = self.sparse.get(f.name)
+            if some is not None:
                 if not some:
                     arrays.append(pa.nulls(n, f.type))
                     continue
                 values = [None] * n
                 for i, v in some.items():
                     values[i] = v
-            arrays.append(pa.array(values, f.type))
-        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=list(NODE)))
+            else:
+                values = dense.get(f.name, ())
+            if f.name in ("path", "chars"):
+                offsets = np.zeros(n + 1, np.int32)
+                np.cumsum([len(v) for v in values], out=offsets[1:])
+                arrays.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(list(chain.from_iterable(values)), f.type.value_type)))
+            else:
+                arrays.append(pa.array(values, f.type))
+        return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=self.fields))
 
 
 def diagnostic_rows(doc: Document) -> list[dict]:
@@ -130,23 +138,49 @@ def diagnostic_rows(doc: Document) -> list[dict]:
     return [{"span_start": at(d.start), "span_end": at(d.end), "severity": d.severity, "code": d.code, "message": d.message, "seq": i} for i, d in enumerate(doc.diagnostics)]
 
 
-def parsed(docs: DataFrame, sheet: Sheet | None = None, ends: bool = True, reader: Callable[..., Document] = parse) -> DataFrame:
+def dealt(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where its scan would leave some of them idle, as by the size of
+    its plan; parsing takes far longer than this shuffle. Anything larger stays as it is."""
+    spark = docs.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    return docs.repartition(2 * cores, "doc_id") if size < cores * split else docs
+
+
+def parsed(docs: DataFrame, sheet: Sheet | None = None, ends: bool = True, reader: Callable[..., Document] = parse, fields: tuple[str, ...] | None = None, diagnostics: bool = True) -> DataFrame:
     """(doc_id, nodes, diagnostics, length) of (doc_id, text); filter documents before this,
-    nothing can be pushed through it. Null texts are empty documents."""
+    nothing can be pushed through it. Null texts are empty documents.
+
+    ``fields`` are the columns of the node table to make (none: () ), and without
+    ``diagnostics`` that list is empty: nothing is made that nobody reads. A plan with several
+    branches reads a ``stored`` result, as each branch of this one would parse again.
+    """
+    wanted = tuple(_FIELDS) if fields is None else fields
+    node = pa.struct([f for f in NODE if f.name in wanted]) if wanted else pa.struct([NODE.field("seq")])
+    schema = pa.schema([("doc_id", pa.string()), ("nodes", pa.list_(node)), ("diagnostics", pa.list_(FOUND)), ("length", pa.int64())])
 
     def run(batches):
         for b in batches:
             ids, texts = b.column(0).cast(pa.string()), b.column(1)
             for lo in range(0, b.num_rows, 64):
-                found, sizes, columns = [], [], NodeColumns()
+                found, sizes, columns = [], [], NodeColumns(wanted or ("seq",))
                 for t in texts[lo : lo + 64].to_pylist():
                     doc = reader(t or "", sheet, ends)
-                    columns.add(doc)
-                    found.append(diagnostic_rows(doc))
-                    sizes.append(len((t or "").encode()))
-                yield pa.RecordBatch.from_arrays([ids[lo : lo + 64], columns.array(), pa.array(found, pa.list_(FOUND)), pa.array(sizes, pa.int64())], schema=PARSED)
+                    if wanted:
+                        columns.add(doc)
+                    else:
+                        columns.offsets.append(0)
+                    found.append(diagnostic_rows(doc) if diagnostics and doc.diagnostics else [])
+                    sizes.append(len(t or "") if (t or "").isascii() else len(t.encode()))
+                yield pa.RecordBatch.from_arrays([ids[lo : lo + 64], columns.array(), pa.array(found, pa.list_(FOUND)), pa.array(sizes, pa.int64())], schema=schema)
+
+    return dealt(docs.select("doc_id", "text")).mapInArrow(run, ", ".join(f"{f.name} {_ddl(f.type)}" for f in schema))
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, PARSED_DDL)
+def stored(parsed_docs: DataFrame) -> DataFrame:
+    """``parsed_docs`` written once into the shared folder and read from there."""
+    return materialize(parsed_docs, "parsed")
 
 
 def nodes(parsed_docs: DataFrame) -> DataFrame:
