@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +46,7 @@ class Range:
 _RANGE = re.compile("([0-9]+)([^\\W\\d_])?([\u200e\u200f])?(?:(-)([0-9]+)([^\\W\\d_])?([\u200e\u200f])?)?(,|$)")
 
 
+@lru_cache(maxsize=1 << 15)
 def parse_numbers(text: str) -> tuple[Range, ...] | None:
     """``1``, ``1a``, ``2-3b``, ``1,3-5``; None unless the whole text is such a list."""
     out, at = [], 0
@@ -61,5 +63,6 @@ def parse_numbers(text: str) -> tuple[Range, ...] | None:
         at = m.end()
 
 
+@lru_cache(maxsize=1 << 15)
 def show_numbers(ranges: tuple[Range, ...]) -> str:
     return ",".join(map(str, ranges))

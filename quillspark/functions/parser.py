@@ -20,10 +20,10 @@ from .tree import MAX_DEPTH, SYNTHETIC, WS, Node, collapse, text
 
 (MARKER, MEND, ESCAPE, SLASH, WORD, SPACE, STAR, BREAK, PIPE, EQUAL, QUOTE, EOF) = range(12)
 _TEXT = frozenset((WORD, SPACE, STAR, EQUAL, QUOTE))
-_TOKEN = re.compile(
-    r"""(?P<m>\\(?P<plus>\+?)(?P<name>[A-Za-z0-9_-]+)(?P<close>\*?))|(?P<e>\\[\\|"])|(?P<x>\\\*)|(?P<b>\\\+?)|(?P<s>[ \t\n\f\r]+)|(?P<o>//)|(?P<p>\|)|(?P<q>=)|(?P<d>")|(?P<a>\*)|(?P<w>[^ \t\n\f\r\\*|="](?:(?!//)[^ \t\n\f\r\\*|="])*)"""
-)
-_KIND = {"m": MARKER, "e": ESCAPE, "x": MEND, "b": SLASH, "s": SPACE, "o": BREAK, "p": PIPE, "q": EQUAL, "d": QUOTE, "a": STAR, "w": WORD}
+_SPACES = re.compile("[ \\t\\n\\f\\r]+").match
+_WORD = re.compile(r"""[^ \t\n\f\r\\*|="](?:(?!//)[^ \t\n\f\r\\*|="])*""").match
+_MARKER = re.compile(r"\\(\+?)([A-Za-z0-9_-]+)(\*?)").match
+_SINGLE = {"|": PIPE, "=": EQUAL, '"': QUOTE, "*": STAR}
 _CELL = re.compile(r"t([ch])([cr]?)(\d*)(?:-(\d*))?(?:-(\d*))?$")
 
 
@@ -33,13 +33,26 @@ _BACKSLASH = re.compile(r"""\\(?:(\+?)([A-Za-z0-9_-]+)(\*?)|[\\|"]|\*|\+?)""")
 
 def token(source: str, at: int) -> tuple:
     """(kind, start, end, name, plus, closing) of the token at an offset."""
-    m = _TOKEN.match(source, at)
-    if m is None:
+    c = source[at : at + 1]
+    if c == "\\":
+        if m := _MARKER(source, at):
+            plus, name, close = m.groups()
+            return MARKER, at, m.end(), name, bool(plus), bool(close)
+        after = source[at + 1 : at + 2]
+        if after == "*":
+            return MEND, at, at + 2, None, False, False
+        if after and after in '\\|"':
+            return ESCAPE, at, at + 2, None, False, False
+        return SLASH, at, at + 1 + (after == "+"), None, False, False
+    if not c:
         return EOF, at, at, None, False, False
-    if m.lastgroup == "m":
-        name, plus, close = m.group("name", "plus", "close")
-        return MARKER, at, m.end(), name, bool(plus), bool(close)
-    return _KIND[m.lastgroup], at, m.end(), None, False, False
+    if c in WS:
+        return SPACE, at, _SPACES(source, at).end(), None, False, False
+    if c in _SINGLE:
+        return _SINGLE[c], at, at + 1, None, False, False
+    if c == "/" and source.startswith("//", at):
+        return BREAK, at, at + 2, None, False, False
+    return WORD, at, _WORD(source, at).end(), None, False, False
 
 
 def tokens(source: str) -> list[tuple]:

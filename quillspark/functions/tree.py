@@ -11,6 +11,7 @@ MAX_DEPTH = 400
 sys.setrecursionlimit(max(sys.getrecursionlimit(), 12 * MAX_DEPTH + 1000))
 WS = " \t\n\f\r"
 _RUN = re.compile("[ \t\n\f\r]+")
+_TO_COLLAPSE = re.compile("[\t\n\f\r]|  ").search
 SYNTHETIC = (0, 0)
 
 
@@ -64,7 +65,7 @@ def text(content: str, start: int = 0, end: int = 0) -> Node:
 
 
 def collapse(value: str) -> str:
-    return _RUN.sub(" ", value)
+    return _RUN.sub(" ", value) if _TO_COLLAPSE(value) else value
 
 
 def walk(blocks, path=()):

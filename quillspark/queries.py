@@ -23,7 +23,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return text.sections(_table(spark, sf_dir, "documents"))
+    return text.sections(markup.dealt(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def verse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

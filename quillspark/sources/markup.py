@@ -79,10 +79,10 @@ class NodeColumns:
             if node.data:
                 for k, v in node.data.items():
                     if k in sparse and v is not None:
-                        sparse[k][row] = [{"start": r.start, "start_part": r.start_part, "end": r.end, "end_part": r.end_part} for r in v] if k == "ranges" else v
+                        sparse[k][row] = v
             if node.attributes is not None:
                 if "attributes" in sparse:
-                    sparse["attributes"][row] = [{"name": n, "value": v, "start": at(a), "end": at(b)} for n, v, a, b in node.attributes]
+                    sparse["attributes"][row] = [(n, v, at(a), at(b)) for n, v, a, b in node.attributes]
                 if node.pipe is not None and "pipe_start" in sparse:
                     sparse["pipe_start"][row] = at(node.pipe)
             if not node.children:
@@ -119,6 +119,9 @@ class NodeColumns:
                 if not some:
                     arrays.append(pa.nulls(n, f.type))
                     continue
+                if f.name in ("ranges", "attributes"):
+                    arrays.append(_lists(f.type, n, some))
+                    continue
                 values = [None] * n
                 for i, v in some.items():
                     values[i] = v
@@ -133,6 +136,20 @@ class NodeColumns:
         return pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays(arrays, fields=self.fields))
 
 
+def _lists(kind: pa.DataType, n: int, some: dict[int, object]) -> pa.Array:
+    """A column of ``n`` lists of structs, null but for the rows of ``some``."""
+    sizes = np.zeros(n, np.int32)
+    for i, v in some.items():
+        sizes[i] = len(v)
+    null = np.ones(n, bool)
+    null[list(some)] = False
+    flat = [x for i in sorted(some) for x in some[i]]
+    fields = list(kind.value_type)
+    parts = [pa.array([getattr(x, f.name) for x in flat] if kind.value_type == RANGE else [x[k] for x in flat], f.type) for k, f in enumerate(fields)]
+    offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(parts, fields=fields), mask=pa.array(null))
+
+
 def diagnostic_rows(doc: Document) -> list[dict]:
     at = ByteOffsets(doc.source)
     return [{"span_start": at(d.start), "span_end": at(d.end), "severity": d.severity, "code": d.code, "message": d.message, "seq": i} for i, d in enumerate(doc.diagnostics)]
