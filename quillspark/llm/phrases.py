@@ -1,16 +1,21 @@
 """Removal of repeated 50-byte strings by prefix-free parsing (op 3).
 
 A rolling hash of 20 bytes picks triggers: the least hash of each 50-byte window. Windows in a
-row that share a trigger make a phrase, and phrases overlap so that every 50-byte string lies
-in exactly one of them whatever document it stands in. So equal strings lie in phrases with
-equal triggers, and the order of the corpus can be found in two steps on fingerprints alone:
-
-* dictionary: phrases are sorted by (trigger, content, document). All strings of a phrase that
-  also stands, whole, in a smaller document are covered; a trigger that only ever has one
-  content settles its strings too. That decides nearly everything, at one small record for
-  each phrase instead of each byte.
-* parse: where different phrases share a trigger and the 15 bytes before or after it, the
-  strings of their first occurrences that could agree are sorted on their own in the same way.
+row that share a trigger make a phrase, and phrases overlap by 49 bytes, so that every 50-byte
+string lies in exactly one of them, and equal strings in phrases with equal triggers whatever
+document they stand in. The parse of a document is its row of phrases; the dictionary has each
+phrase once, with the smallest document that holds it. Dictionary and parse make the order of
+the corpus in two steps, block by block, as a trigger belongs to one block:
+
+* parse: a phrase that stands, whole, in a smaller document has all its strings covered. Phrases
+  are compared by fingerprints, some 15 bytes for each phrase instead of its bytes.
+* dictionary: only where different phrases share a trigger and the 15 bytes before or after it
+  can they share strings. Those phrases send their bytes, and each block sorts all suffixes of at
+  least 50 bytes of its phrases by prefix doubling. Neighbours in this suffix array that agree
+  in 50 bytes are one string, compared byte by byte; the smallest document keeps it.
+
+As no string crosses from one phrase into the next, the suffix array of the parse, which orders
+those that do, has nothing left to decide and is not built.
 
 Documents travel as compressed segments of a few MB; a segment sends each bucket its records
 as one packed row, after it has merged equal phrases of its own, so the commonest phrase costs
@@ -122,20 +127,27 @@ def _planes(x: np.ndarray) -> list[bytes]:
     return [(x & _U(0xFFFFFFFF)).astype("<u4").tobytes(), ((x >> _U(32)) & _U(0xFF)).astype("u1").tobytes()]
 
 
-def _pack(ids: np.ndarray, key: np.ndarray, body: np.ndarray, left: np.ndarray, right: np.ndarray) -> bytes:
+def _owners(ids: np.ndarray) -> list[bytes]:
     own, at = np.unique(ids, return_inverse=True)
-    head = np.array([len(own), len(ids)], "<u4").tobytes()
-    return b"".join([head, own.astype("<i8").tobytes(), at.astype("<u2").tobytes(), *_planes(key), *_planes(body), left.tobytes(), right.tobytes()])
+    return [np.array([len(own), len(ids)], "<u4").tobytes(), own.astype("<i8").tobytes(), at.astype("<u2").tobytes()]
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+def _pack(ids: np.ndarray, key: np.ndarray, body: np.ndarray, left: np.ndarray, right: np.ndarray) -> bytes:
+    return b"".join([*_owners(ids), *_planes(key), body.astype("<u8").tobytes(), left.tobytes(), right.tobytes()])
+
+
+def _fields(blob: bytes, kinds) -> list[np.ndarray]:
     k, n = np.frombuffer(blob, "<u4", 2).tolist()
     at, out = 8, []
-    for kind, count in (("<i8", k), ("<u2", n), ("<u4", n), ("u1", n), ("<u4", n), ("u1", n), ("u1", n), ("u1", n)):
+    for kind, count in (("<i8", k), ("<u2", n), *((kind, n) for kind in kinds)):
         out.append(np.frombuffer(blob, kind, count, at))
         at += out[-1].nbytes
-    wide = lambda x, y: x.astype(_U) | (y.astype(_U) << _U(32))
-    return out[0][out[1]], wide(out[2], out[3]), wide(out[4], out[5]), out[6], out[7]
+    return [out[0][out[1]], *out[2:], np.frombuffer(blob, "u1", offset=at)]
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
+    ids, low, high, body, left, right, _ = _fields(blob, ("<u4", "u1", "<u8", "u1", "u1"))
+    return ids, low.astype(_U) | (high.astype(_U) << _U(32)), body.astype(_U), left, right
 
 
 CLEAR, COVERED, LEFT, RIGHT = 0, 1, 2, 4
@@ -175,26 +187,57 @@ def _judge(ids, key, body, left, right) -> np.ndarray:
     return verdict
 
 
-def _judge_strings(ids, key, body, left, right) -> np.ndarray:
-    order = np.lexsort((ids, body, key))
-    k, b, i = key[order], body[order], ids[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])))
+def suffix_ranks(data: np.ndarray) -> np.ndarray:
+    """The rank of the 50 bytes at each place of ``data`` among all of them, equal for equal
+    bytes: prefix doubling from 8 to 16, 32 and 50 bytes. Places nearer to the end have none."""
+    n = len(data) - WIDTH + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    words = np.zeros(len(data) - 7, _U)
+    for i in range(8):
+        words = (words << _U(8)) | data[i : len(data) - 7 + i].astype(_U)
+    rank, have = np.unique(words, return_inverse=True)[1].astype(np.int64), 8
+    for step, width in ((8, 16), (16, 32), (18, WIDTH)):
+        m = len(data) - width + 1
+        both = rank[:m] * (int(rank.max()) + 1) + rank[step : step + m]
+        rank, have = np.unique(both, return_inverse=True)[1].astype(np.int64), width
+    return rank[:n]
+
+
+def _judge_suffixes(blobs: list[bytes]) -> list[np.ndarray]:
+    """For each string of the phrases in ``blobs``: does it start in a smaller document, too?"""
+    got = [_fields(x, ("u1",)) for x in blobs]
+    counts = np.concatenate([g[1] for g in got]).astype(np.int64)
+    data = np.concatenate([g[2] for g in got])
+    ids = np.repeat(np.concatenate([g[0] for g in got]), counts)
+    at = _places(np.cumsum(counts + WIDTH - 1) - counts - WIDTH + 1, counts)
+    rank = suffix_ranks(data)[at]
+    order = np.lexsort((ids, rank))
+    new = np.ones(len(order), bool)
+    new[1:] = rank[order][1:] != rank[order][:-1]
     verdict = np.empty(len(order), np.uint8)
-    verdict[order] = i > i[np.flatnonzero(new)][np.cumsum(new) - 1]
-    return verdict
+    verdict[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    return np.split(verdict, np.cumsum([int(g[1].astype(np.int64).sum()) for g in got])[:-1])
+
+
+def _judge_phrases(blobs: list[bytes]) -> list[np.ndarray]:
+    cols = [_unpack(x) for x in blobs]
+    return np.split(_judge(*(np.concatenate(x) for x in zip(*cols))), np.cumsum([len(c[0]) for c in cols])[:-1])
+
+
+def _places(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... counts[0] of them, then those of the next start."""
+    before = np.cumsum(counts) - counts
+    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
 
 
 def _answers(records: DataFrame, judge) -> DataFrame:
     """(seg, answers array<struct<bucket, verdict>>) for packed records (seg, bucket, blob)."""
 
     def run(group: pa.Table) -> pa.Table:
-        segs, blobs = group.column("seg"), group.column("blob").to_pylist()
-        cols = [_unpack(x) for x in blobs]
-        sizes = [len(c[0]) for c in cols]
-        verdict = judge(*(np.concatenate(x) for x in zip(*cols)))
-        ends = np.cumsum(sizes)
-        packed = [zstandard.ZstdCompressor(1).compress(verdict[e - n : e].tobytes()) for e, n in zip(ends, sizes)]
-        return pa.table({"seg": segs, "bucket": group.column("bucket"), "verdict": pa.array(packed, pa.binary())})
+        found = judge(group.column("blob").to_pylist())
+        packed = [zstandard.ZstdCompressor(1).compress(v.tobytes()) for v in found]
+        return pa.table({"seg": group.column("seg"), "bucket": group.column("bucket"), "verdict": pa.array(packed, pa.binary())})
 
     return records.groupBy("bucket").applyInArrow(run, "seg long, bucket long, verdict binary").groupBy("seg").agg(F.collect_list(F.struct("bucket", "verdict")).alias("answers"))
 
@@ -223,32 +266,29 @@ class Segment:
         covered = ((all_ & COVERED) > 0) | (ids > ids[self.rep][self.of])
         return np.where(covered, COVERED, all_)
 
-    def strings(self, verdict: np.ndarray):
-        """Starts of the strings to sort on their own, merged like phrases: (starts of all,
-        place of each one's representative, records of the representatives)."""
+    def suspects(self, verdict: np.ndarray):
+        """Of the phrases whose strings are to be sorted, one of each content: (place among
+        them of every such phrase, its first string; and of the ones that are sent, the phrase
+        number, how many strings, the first, and the block). Equal strings have equal triggers
+        and, as all of them hold that side in full, equal sides: these name the block, so that
+        a common trigger is dealt by what stands beside it."""
         p = self.phrases
-        starts = []
+        of, first, count = [], [], []
         for bit in (LEFT, RIGHT):
             q = np.flatnonzero((verdict & bit) > 0)
             # The left side is whole in windows that start SIDE bytes before the trigger or
             # earlier, the right one in those that start later.
-            a = p.first[q] if bit == LEFT else np.maximum(p.first[q], p.at[q] - SIDE)
+            a = p.first[q] if bit == LEFT else np.maximum(p.first[q], p.at[q] - SIDE + 1)
             b = np.minimum(p.last[q], p.at[q] - SIDE) if bit == LEFT else p.last[q]
-            n = np.maximum(b - a + 1, 0)
-            starts.append(np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64))
-        s = np.unique(np.concatenate(starts))
-        key = np.zeros(len(s), _U)
-        body = np.zeros(len(s), _U)
-        for i in range(WIDTH):
-            c = _BYTE[self.data[s + i]] if len(s) else np.zeros(0, _U)
-            key = key * _U(_BASE) + c
-            body = (body ^ c) * _U(0xBF58476D1CE4E5B9)
-            body ^= body >> _U(31)
-        key = _mix(key)
-        ids = self.ids[np.searchsorted(self.offsets, s, "right") - 1]
-        rep, of = _merge(ids, key, body)
-        none = np.zeros(len(rep), np.uint8)
-        return s, ids, rep, of, (ids[rep], key[rep], body[rep], none, none)
+            some = b >= a
+            of.append(self.of[q][some] * 2 + (bit == RIGHT))
+            first.append(a[some])
+            count.append((b - a + 1)[some])
+        of, first, count = (np.concatenate(x) for x in (of, first, count))
+        sent, one, of = np.unique(of, return_index=True, return_inverse=True)
+        phrase, right = self.rep[sent // 2], sent % 2 == 1
+        side = np.where(right, p.right[phrase], p.left[phrase]).astype(_U) * _U(2) + right.astype(_U)
+        return of, first, phrase, count[one], first[one], _mix(_mix(p.key[phrase]) + side * _U(_BASE))
 
 
 def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
@@ -277,6 +317,15 @@ def _gather(answers, key: np.ndarray, buckets: int) -> np.ndarray:
     return out
 
 
+def _gather_strings(answers, key: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
+    """``_gather`` of several verdicts for each record, in the order of the records."""
+    found = {x["bucket"]: x["verdict"] for x in answers or ()}
+    out, begin = np.zeros(int(counts.sum()), np.uint8), np.cumsum(counts) - counts
+    for b, rows in _by_bucket(key, buckets):
+        out[_places(begin[rows], counts[rows])] = np.frombuffer(zstandard.ZstdDecompressor().decompress(found[b]), np.uint8)
+    return out
+
+
 def segments(docs: DataFrame) -> DataFrame:
     """(seg, ids, sizes, data, outside): documents packed by the partition that read them."""
 
@@ -338,8 +387,12 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     def strings(batches):
         for r in _rows(batches):
             s = Segment(r["ids"], r["sizes"], r["data"])
-            *_, records = s.strings(s.verdicts(r["answers"], buckets))
-            yield from _blobs(r["seg"], records, buckets)
+            _, _, phrase, counts, first, block = s.suspects(s.verdicts(r["answers"], buckets))
+            ids = s.ids[s.phrases.doc[phrase]]
+            for b, rows in _by_bucket(block, buckets):
+                text = s.data[_places(first[rows], counts[rows] + WIDTH - 1)]
+                blob = b"".join([*_owners(ids[rows]), counts[rows].astype("u1").tobytes(), text.tobytes()])
+                yield pa.RecordBatch.from_arrays([pa.array([r["seg"]]), pa.array([b]), pa.array([blob], pa.binary())], schema=RECORD)
 
     def remove(batches):
         for r in _rows(batches):
@@ -350,10 +403,11 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
             c = (verdict & COVERED) > 0
             np.add.at(edge, p.first[c], 1)
             np.add.at(edge, p.last[c] + WIDTH, -1)
-            starts, ids, rep, of, records = s.strings(verdict)
-            if len(starts):
-                out = _gather(r["more"], records[1], buckets)[of] > 0
-                hit = starts[out | (ids > ids[rep][of])]
+            of, first, _, counts, _, block = s.suspects(verdict)
+            if len(of):
+                out = _gather_strings(r["more"], block, counts, buckets)
+                begin = np.cumsum(counts) - counts
+                hit = _places(first, counts[of])[out[_places(begin[of], counts[of])] > 0]
                 np.add.at(edge, hit, 1)
                 np.add.at(edge, hit + WIDTH, -1)
             gone = np.cumsum(edge[:-1]) > 0
@@ -366,9 +420,9 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(zip(*rows), (pa.int64(),) * 4 + (pa.string(),))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     record = "seg long, bucket long, blob binary"
-    first = materialize(_answers(segs.select("seg", "ids", "sizes", "data").mapInArrow(phrases, record), _judge), "phrases")
+    first = materialize(_answers(segs.select("seg", "ids", "sizes", "data").mapInArrow(phrases, record), _judge_phrases), "phrases")
     with_first = segs.select("seg", "ids", "sizes", "data").join(first, "seg", "left")
-    second = materialize(_answers(with_first.mapInArrow(strings, record), _judge_strings), "strings")
+    second = materialize(_answers(with_first.mapInArrow(strings, record), _judge_suffixes), "strings")
     out = with_first.join(second.withColumnRenamed("answers", "more"), "seg", "left").mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     text = F.coalesce("text", F.lit(""))
     apart = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))

@@ -135,6 +135,14 @@ def test_repeats_of_a_row_in_two_segments(spark, monkeypatch):
     assert len(out) == 60 and all(tuple(x[1:]) == want[x[0]] for x in out.itertuples(index=False))
 
 
+def test_suffix_ranks():
+    data = np.frombuffer(b"\x00ab" * 30 + b"\x00" * 70 + b"z" + b"\x00ab" * 20 + bytes(range(60)), np.uint8)
+    strings = [data[i : i + 50].tobytes() for i in range(len(data) - 49)]
+    want = {x: k for k, x in enumerate(sorted(set(strings)))}
+    assert phrases.suffix_ranks(data).tolist() == [want[x] for x in strings]
+    assert len(phrases.suffix_ranks(data[:49])) == 0
+
+
 def test_repeats_awkward(odd, empty):
     out = phrases.repeated_strings(odd).toPandas()
     assert len(out) == len(awkward())
