@@ -1,10 +1,11 @@
 """Licence scan by a trained paragraph classifier (op 6, native).
 
 A softmax regression over word n-grams names the licence family of a paragraph, or "unknown";
-a comparison with the family's templates confirms it. Training is a few hundred sentences on
-the driver. The scan itself is expressions and joins: paragraphs whose words can't add up to any
-family, whatever their order, are unknown by the weights themselves and leave before anything
-is exploded, the weights of the others' n-grams are summed, and shingles meet the template's.
+a comparison with the family's templates confirms it. A paragraph is a line, and a line with its
+neighbours, as notices are wrapped. Training is a few hundred sentences on the driver. The scan
+itself is one pass of expressions and joins with the model: lines whose words can't add up to any
+family, whatever their order, are unknown by the weights themselves and leave before anything is
+exploded, the weights of the others' n-grams are summed, and shingles meet the template's.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 import re
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -62,6 +63,8 @@ class LicenceModel:
         seen = Counter(g for f, w in rows if f != UNKNOWN for g in grams(w))
         own = {g for t in templates.values() for x in t for g in grams(tokens(x))}
         self.vocabulary = sorted(g for g in seen if g in own)
+        #: Word pairs of each template, and of all templates of a family.
+        self.each = {f: [[" ".join(x) for x in zip(tokens(t), tokens(t)[1:])] for t in texts] for f, texts in templates.items()}
         self.templates = {f: sorted({" ".join(x) for t in texts for x in zip(tokens(t), tokens(t)[1:])}) for f, texts in templates.items()}
         at = {g: i for i, g in enumerate(self.vocabulary)}
         k = len(self.families)
@@ -125,47 +128,87 @@ def _literal(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")).alias("r")).select("r.*")
 
 
-def paragraphs(docs: DataFrame, m: LicenceModel, confirm: float = 0.5) -> DataFrame:
-    """(row, doc_id, paragraph, family, probability, overlap, confirmed) for each paragraph
-    (line) that the model gives a family; ``overlap`` is the part of its word pairs that stand
-    in templates of the family, or of one template's pairs that stand in it, if larger."""
-    spark = docs.sparkSession
+def _pairs(w: Column) -> Column:
+    n = F.greatest(F.size(w) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(w, 1, n), F.slice(w, 2, n), lambda a, b: F.concat_ws(" ", a, b))
+    return F.when(F.size(w) > 1, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def _pieces(text: Column, m: LicenceModel) -> Column:
+    """The lines of a text that hold a mark, as structs (line, wide, piece): each by itself, and
+    wide, as notices are wrapped, with the line before it and two after it, up to blank ones."""
     begin: dict[str, list[str]] = {}
     for w in marks(m):
         begin.setdefault(w[0], []).append(w[1:])
     any_mark = "(?<![a-z0-9])(?:" + "|".join(f"{x}(?:{'|'.join(rest)})" for x, rest in begin.items()) + ")(?![a-z0-9])"
-    lines = docs.select("_row", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line"))
-    lines = lines.where(F.lower("line").rlike(any_mark))
-    words = F.filter(F.split(F.lower("line"), "[^a-z0-9]+"), lambda w: w != "")
-    lines = lines.select("_row", "doc_id", "paragraph", words.alias("w"))
-    pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    lines = lines.select("_row", "doc_id", "paragraph", F.array_distinct("w").alias("w"), F.array_distinct(pairs).alias("p"))
+    lines = F.split(text, "\n")
+
+    def near(i: Column, k: int) -> Column:
+        line = F.get(lines, i + k)
+        return F.when(F.trim(line) != "", line)
+
+    def piece(x: Column, i: Column) -> Column:
+        after = near(i, 1)
+        wide = F.concat_ws(" ", near(i, -1), x, after, F.when(after.isNotNull(), near(i, 2)))
+        one = lambda flag, t: F.struct(i.alias("line"), F.lit(flag).alias("wide"), t.alias("piece"))
+        return F.when(F.lower(x).rlike(any_mark), F.array(one(False, x), one(True, wide)))
+
+    return F.flatten(F.array_compact(F.transform(lines, piece)))
+
+
+def paragraphs(docs: DataFrame, m: LicenceModel, confirm: float = 0.5) -> DataFrame:
+    """(_row, doc_id, line, wide, family, probability, overlap, confirmed): a row for each piece
+    of a document, and one with nulls for a document without any. ``family`` is null where the
+    model names none; ``overlap`` is the part of a piece's word pairs that stand in templates of
+    the family, or of one template's pairs that stand in it, if larger."""
+    spark = docs.sparkSession
+    pieces = docs.select("_row", "doc_id", F.explode_outer(_pieces(F.col("text"), m)).alias("x")).select("_row", "doc_id", "x.*")
+    words = F.filter(F.split(F.lower("piece"), "[^a-z0-9]+"), lambda w: w != "")
+    pieces = pieces.select("_row", "doc_id", "line", "wide", words.alias("w"))
+    pieces = pieces.select("_row", "doc_id", "line", "wide", F.array_distinct("w").alias("w"), F.array_distinct(_pairs(F.col("w"))).alias("p"))
     weights = _literal(spark, [{"gram": g, "w": w} for g, w in zip(m.vocabulary, m.weights)], "gram:string,w:array<double>")
-    hits = lines.select("_row", "doc_id", "paragraph", "p", F.explode(F.concat("w", "p")).alias("gram")).join(F.broadcast(weights), "gram")
+    grams = pieces.select("_row", "doc_id", "line", "wide", "p", F.explode_outer(F.concat("w", "p")).alias("gram"))
+    hits = grams.join(F.broadcast(weights), "gram", "left")
     k = len(m.families)
-    sums = hits.groupBy("_row", "paragraph").agg(F.first("doc_id").alias("doc_id"), F.first("p").alias("p"), *(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(k)))
+    sums = hits.groupBy("_row", "line", "wide").agg(F.first("doc_id").alias("doc_id"), F.first("p").alias("p"), *(F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)).alias(f"z{c}") for c in range(k)))
     z = F.array(*(F.col(f"z{c}") + F.lit(m.bias[c]) for c in range(k)))
-    best = sums.select("_row", "paragraph", "doc_id", "p", z.alias("z")).withColumn("top", F.array_max("z"))
-    best = best.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top")))).withColumn("c", (F.array_position("z", F.col("top")) - 1).cast("int"))
-    best = best.where((F.col("c") < k - 1) & (F.col("probability") >= m.cutoff))
-    shingles = _literal(spark, [{"c": c, "family": f, "t": m.templates[f], "each": [[" ".join(x) for x in zip(tokens(t), tokens(t)[1:])] for t in TEMPLATES.get(f, [])]} for c, f in enumerate(m.families[:-1])], "c:int,family:string,t:array<string>,each:array<array<string>>")
-    out = best.join(F.broadcast(shingles), "c")
+    best = sums.select("_row", "line", "wide", "doc_id", "p", z.alias("z")).withColumn("top", F.array_max("z"))
+    best = best.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top"))))
+    best = best.withColumn("c", (F.array_position("z", F.col("top")) - 1).cast("int"))
+    named = F.col("line").isNotNull() & (F.col("c") < k - 1) & (F.col("probability") >= m.cutoff)
+    best = best.withColumn("c", F.when(named, F.col("c")))
+    table_ = [{"c": c, "family": f, "t": m.templates[f], "each": m.each[f]} for c, f in enumerate(m.families[:-1])]
+    out = best.join(F.broadcast(_literal(spark, table_, "c:int,family:string,t:array<string>,each:array<array<string>>")), "c", "left")
     inside = F.when(F.size("p") > 0, F.size(F.array_intersect("p", "t")) / F.size("p")).otherwise(0.0)
     covered = F.aggregate("each", F.lit(0.0), lambda s, e: F.greatest(s, F.when(F.size(e) > 0, F.size(F.array_intersect(e, F.col("p"))) / F.size(F.array_distinct(e))).otherwise(0.0)))
-    return out.withColumn("overlap", F.greatest(inside, covered)).select("_row", "doc_id", "paragraph", "family", "probability", "overlap", (F.col("overlap") >= confirm).alias("confirmed"))
+    out = out.withColumn("overlap", F.greatest(inside, covered))
+    return out.select("_row", "doc_id", "line", "wide", "family", "probability", "overlap", (F.col("overlap") >= confirm).alias("confirmed"))
 
 
 def scan(docs: DataFrame, m: LicenceModel | None = None) -> DataFrame:
     """One row per document: doc_id, families (sorted, comma-joined, null without any),
     n_paragraphs confirmed, n_unconfirmed (named by the model, not by a template).
 
-    Null and empty texts have no paragraphs. Repeated rows are scanned on their own.
+    Lines count by themselves; a statement wrapped over lines counts once, if none of its lines
+    was confirmed alone. Null and empty texts have none. Repeated rows are scanned on their own.
     """
     m = m or model()
     keyed = docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text")
-    found = paragraphs(keyed, m).groupBy("_row").agg(F.array_join(F.sort_array(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.count_if("confirmed").alias("n"), F.count_if(~F.col("confirmed")).alias("u"))
-    out = keyed.select("_row", "doc_id").join(found, "_row", "left")
-    return out.select("doc_id", F.when(F.col("families") != "", F.col("families")).alias("families"), F.coalesce("n", F.lit(0)).alias("n_paragraphs"), F.coalesce("u", F.lit(0)).alias("n_unconfirmed"))
+    one = F.struct(F.col("line").alias("at"), "family")
+    alone, wide = ~F.col("wide"), F.col("wide")
+    found = paragraphs(keyed, m).groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"),
+        F.sort_array(F.collect_list(F.when(alone & F.col("confirmed"), one))).alias("lines"),
+        F.sort_array(F.collect_list(F.when(wide & F.col("confirmed"), one))).alias("wraps"),
+        F.count_if(alone & F.col("family").isNotNull() & ~F.col("confirmed")).alias("n_unconfirmed"),
+    )
+    # Windows around a confirmed line say nothing new; of those that overlap one counts.
+    new = F.filter("wraps", lambda x: ~F.exists("lines", lambda y: F.abs(x["at"] - y["at"]) <= 3))
+    found = found.withColumn("wraps", new)
+    first = F.filter("wraps", lambda x, i: (i == 0) | (x["at"] - F.get(F.col("wraps"), i - 1)["at"] > 3))
+    names = F.array_sort(F.array_distinct(F.transform(F.concat("lines", "wraps"), lambda x: x["family"])))
+    families = F.array_join(names, ",")
+    return found.select("doc_id", F.when(families != "", families).alias("families"), (F.size("lines") + F.size(first)).cast("long").alias("n_paragraphs"), "n_unconfirmed")
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

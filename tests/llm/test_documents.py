@@ -315,6 +315,22 @@ def test_licences_of_wrapped_notices(spark):
     assert want[:3] == [1, 1, 1] and (out.n_paragraphs + out.n_unconfirmed).tolist() == want
 
 
+WRAPPED = {
+    "mit": "Intro line.\n\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software\nand associated documentation files",
+    "gpl-3.0": "This program is free\nsoftware: you can redistribute\nit and modify it under the terms of the\nGNU General Public License",
+    "bsd": "Redistribution and use in source\nand binary forms, with or without\nmodification, are permitted",
+    "apache-2.0": "You may not use this file except in\ncompliance with the Apache License.",
+}
+
+
+def test_licences_wrapped_over_lines(spark):
+    out = licenses.scan(spark.createDataFrame(list(WRAPPED.items()), "doc_id string, text string")).toPandas().set_index("doc_id")
+    assert out.families.to_dict() == {k: k for k in WRAPPED} and set(out.n_paragraphs) == {1}
+    prose = "The school lost its licence.\nIt was released under guard, and the\nuse of the road is permitted.\n" * 3
+    none = licenses.scan(spark.createDataFrame([(1, prose)], "doc_id long, text string")).first()
+    assert none.families is None and none.n_paragraphs == 0
+
+
 @pytest.mark.parametrize("budget", [0.3, 0.66])
 def test_raking_meets_margins(budget):
     """At 0.66 some cells are taken whole, and the margins hold all the same."""
