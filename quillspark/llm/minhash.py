@@ -110,11 +110,11 @@ def digest(s: np.ndarray) -> tuple[int, int]:
     return int(mix(s * _BASE).sum(dtype=_U).view(np.int64)), int((mix(s + _BASE) * _BACK).sum(dtype=_U).view(np.int64))
 
 
-def _signed(docs: DataFrame, k: int) -> DataFrame:
+def _signed(keyed: DataFrame, k: int) -> DataFrame:
     def run(batches):
         for b in batches:
             n, d1, d2, keys = [], [], [], []
-            for t in utf8(b.column(1)):
+            for t in utf8(b.column(2)):
                 s = shingles(t, k)
                 n.append(len(s))
                 x = digest(s)
@@ -123,21 +123,21 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 keys.append(bands(s) if len(s) else np.zeros(0, np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
             arrays = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), arrays], names=["doc_id", "n", "d1", "d2", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.int64()), *(pa.array(x, pa.int64()) for x in (n, d1, d2)), arrays], names=["_row", "doc_id", "n", "d1", "d2", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return keyed.select("_row", "doc_id", "text").mapInArrow(run, "_row long, doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
-def _sets(docs: DataFrame, active: DataFrame, k: int, repeated: bool) -> DataFrame:
-    """(node, items) of the classes in ``active`` (doc_id, d1, d2, node), which grow with the
-    corpus and so are never broadcast. Of the rows of a document those with the class's own set
+def _sets(keyed: DataFrame, active: DataFrame, by: str, k: int, repeated: bool) -> DataFrame:
+    """(node, items) of the classes in ``active`` (by, d1, d2, node), which grow with the corpus
+    and so are never broadcast. Of the rows that ``by`` names those with the class's own set
     count, once."""
 
     def run(batches):
         for b in batches:
-            nodes, d1, d2 = (b.column(c).to_pylist() for c in (2, 3, 4))
+            nodes, d1, d2 = (b.column(c).to_pylist() for c in (1, 2, 3))
             at, found = [], []
-            for i, t in enumerate(utf8(b.column(1))):
+            for i, t in enumerate(utf8(b.column(0))):
                 s = shingles(t, k)
                 if digest(s) == (d1[i], d2[i]):
                     at.append(nodes[i])
@@ -145,7 +145,7 @@ def _sets(docs: DataFrame, active: DataFrame, k: int, repeated: bool) -> DataFra
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64)))], names=["node", "items"])
 
-    got = docs.select("doc_id", "text").join(active, "doc_id").select("doc_id", "text", "node", "d1", "d2").mapInArrow(run, "node long, items array<long>")
+    got = keyed.select(by, "text").join(active, by).select("text", "node", "d1", "d2").mapInArrow(run, "node long, items array<long>")
     return got.dropDuplicates(["node"]) if repeated else got
 
 
@@ -166,31 +166,43 @@ def near_duplicates(docs: DataFrame, k: int = 2, percent: int = 80) -> DataFrame
     for each pair that shares one of 32 bands of 5 values: two texts of similarity 0.8 miss
     all of them with a probability of 3 in a million.
     """
-    signed = materialize(_signed(docs, k), "signed")
-    usable = signed.where("n > 0 and doc_id is not null")
-    repeated = usable.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
-    # Classes are numbered in the order of their ids, so the least node has the least id.
-    classes = usable.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id"), F.min_by("bands", "doc_id").alias("bands"))
-    classes = materialize(classes.repartitionByRange("doc_id", "d1", "d2").sortWithinPartitions("doc_id", "d1", "d2").withColumn("node", F.monotonically_increasing_id()), "classes")
-    keyed = classes.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))
-    shared = materialize(keyed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("c")).where("pivot <> top").select("key", "pivot", "c"), "buckets")
+    named = _headed(docs.select(F.lit(None).cast("long").alias("_row"), "doc_id", "text"), "doc_id", k, percent)
+    component = F.coalesce("head", "doc_id")
+    return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def _headed(keyed: DataFrame, by: str, k: int, percent: int) -> DataFrame:
+    """(_row, doc_id, n, head, head_row) of ``keyed`` (_row, doc_id, text): the first row of its
+    component by doc_id, then _row; null for rows without words or a null ``by``, the column
+    that names a row."""
+    signed = materialize(_signed(keyed, k), "signed")
+    usable = signed.where(f"n > 0 and {by} is not null")
+    repeated = usable.groupBy(by).agg(F.count(F.lit(1)).alias("c")).where("c > 1").limit(1).count() > 0
+    # Classes are numbered in the order of their first rows, so the least node has the first row.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")
+    classes = usable.groupBy("d1", "d2").agg(F.min(place).alias("p"), F.min_by("bands", place).alias("bands")).select("d1", "d2", "p.*", "bands")
+    order = ["none", "doc_id", "_row", "d1", "d2"]
+    classes = materialize(classes.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("node", F.monotonically_increasing_id()), "classes")
+    bucketed = classes.select(F.explode("bands").alias("key"), F.col("node").alias("rep"))
+    shared = materialize(bucketed.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("c")).where("pivot <> top").select("key", "pivot", "c"), "buckets")
     limit = max(LEAST, (shared.agg(F.sum("c")).first()[0] or 0) / PARTS)
     hot = shared.where(F.col("c") > limit).select("key", F.ceil(F.col("c") / limit).cast("int").alias("_copies"))
-    members = materialize(join_one(keyed, shared.select("key", "pivot"), ["key"], hot=hot), "members")
+    members = materialize(join_one(bucketed, shared.select("key", "pivot"), ["key"], hot=hot), "members")
     stars = materialize(members.where("rep <> pivot").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("common")), "stars")
-    heads = classes.select("d1", "d2", "node", F.col("doc_id").alias("rep"))
+    heads = classes.select("d1", "d2", "node", F.col("doc_id").alias("head"), F.col("_row").alias("head_row"))
     if stars.limit(1).count():
         active = stars.select(F.col("rep").alias("node")).union(stars.select("pivot")).distinct()
-        sets = materialize(_sets(docs, classes.select("doc_id", "d1", "d2", "node").join(active, "node", "left_semi"), k, repeated), "sets")
+        sets = materialize(_sets(keyed, classes.select(by, "d1", "d2", "node").join(active, "node", "left_semi"), by, k, repeated), "sets")
         first = stars.groupBy(F.col("rep").alias("a")).agg(F.max_by("pivot", F.struct("common", -F.col("pivot"))).alias("b"))
         labels = _merge(None, _linked(first, sets, percent))
         labels = _settle(members, labels, sets, percent)
-        tops = join_one(labels, classes.select(F.col("node").alias("label"), F.col("doc_id").alias("top")), ["label"]).select("node", "top")
-        heads = materialize(heads.join(tops, "node", "left").select("d1", "d2", F.coalesce("top", "rep").alias("rep")), "heads")
+        tops = join_one(labels, heads.select(F.col("node").alias("label"), F.col("head").alias("top"), F.col("head_row").alias("top_row")), ["label"]).select("node", "top", "top_row", F.lit(True).alias("moved"))
+        heads = heads.join(tops, "node", "left")
+        heads = materialize(heads.select("d1", "d2", F.when(F.col("moved"), F.col("top")).otherwise(F.col("head")).alias("head"), F.when(F.col("moved"), F.col("top_row")).otherwise(F.col("head_row")).alias("head_row")), "heads")
     # A text with a third of all rows as its copies is one class, and one row here.
-    named = join_one(signed.select("doc_id", "n", "d1", "d2"), heads.select("d1", "d2", "rep"), ["d1", "d2"], "left")
-    named = named.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")).alias("rep"))
-    return named.select("doc_id", F.col("n").alias("n_shingles"), F.col("rep").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("rep"), F.lit(True)).alias("kept"))
+    named = join_one(signed.drop("bands"), heads.select("d1", "d2", "head", "head_row"), ["d1", "d2"], "left")
+    fits = (F.col("n") > 0) & F.col(by).isNotNull()
+    return named.select("_row", "doc_id", "n", F.when(fits, F.col("head")).alias("head"), F.when(fits, F.col("head_row")).alias("head_row"))
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -203,13 +215,10 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # no name clashes with ours
     ident, text = (plain.columns[docs.columns.index(c)] for c in ("doc_id", "text"))
-    keyed = materialize(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    grouped = materialize(near_duplicates(keyed.select(F.col("_row").alias("doc_id"), F.col(text).alias("text")), k, percent).where("not kept").select(F.col("doc_id").alias("_row"), F.col("component_id").alias("head")), "groups")
-    several = grouped.union(grouped.select("head", "head").distinct())
-    named = several.join(keyed.select("_row", F.col(ident).alias("id")), "_row")
-    first = named.groupBy("head").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_row")).alias("f"))
-    gone = several.select("_row").join(first.select(F.col("f._row").alias("_row")), "_row", "left_anti")
-    return keyed.join(gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
+    numbered = materialize(plain.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    keyed = numbered.select("_row", F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    gone = _headed(keyed, "_row", k, percent).where("head_row <> _row").select("_row")
+    return numbered.join(gone, "_row", "left_anti").drop("_row").toDF(*docs.columns)
 
 
 def _label(df: DataFrame, labels: DataFrame, node: str, out: str) -> DataFrame:
