@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.interlinear import Cluster, Lexicon, Verse, anchor
+from ..functions.interlinear import Cluster, Lexicon, ProjectError, Verse, anchor, read_interlinear, read_lexicon
+from ..plans.stored import materialize
 
 CLUSTERS = "reference string, ord int, chapter long, verse long, approved boolean, clusters array<struct<index:int,length:int,excluded:boolean,lexemes:array<struct<id:string,sense:string>>>>"
 
@@ -16,6 +17,54 @@ def verse_table(spark, verses: list[Verse]) -> DataFrame:
     return spark.createDataFrame(rows, CLUSTERS)
 
 
+_CLUSTER = pa.struct([("index", pa.int32()), ("length", pa.int32()), ("excluded", pa.bool_()), ("lexemes", pa.list_(pa.struct([("id", pa.string()), ("sense", pa.string())])))])
+_VERSE = pa.schema([("doc_id", pa.string()), ("reference", pa.string()), ("ord", pa.int32()), ("chapter", pa.int64()), ("verse", pa.int64()), ("approved", pa.bool_()), ("clusters", pa.list_(_CLUSTER))])
+_SENSE = pa.schema([("doc_id", pa.string()), ("kind", pa.string()), ("form", pa.string()), ("homograph", pa.int32()), ("place", pa.int32()), ("sense_no", pa.int32()), ("sense", pa.string()), ("language", pa.string()), ("gloss", pa.string())])
+
+
+def read_verses(files: DataFrame) -> DataFrame:
+    """Interlinear files (doc_id, text) as rows of ``CLUSTERS`` with their doc_id. A file that
+    can't be read has no rows; null texts neither."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    found = read_interlinear(t or "")[1]
+                except ProjectError:
+                    continue
+                for k, v in enumerate(found):
+                    clusters = [{"index": c.index, "length": c.length, "excluded": c.excluded, "lexemes": [{"id": x, "sense": y} for x, y in c.lexemes]} for c in v.clusters]
+                    rows.append({"doc_id": i, "reference": v.reference, "ord": k, "chapter": v.place and v.place[0], "verse": v.place and v.place[1], "approved": v.approved is not None, "clusters": clusters})
+            yield pa.RecordBatch.from_pylist(rows, schema=_VERSE)
+
+    return files.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "doc_id string, " + CLUSTERS)
+
+
+def read_lexicons(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """entries(kind, form, homograph, entry) and glosses(entry, sense_no, sense, language, gloss)
+    of lexicon files (doc_id, text); ``entry`` is a hash of the file and the place in it."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    found = read_lexicon(t or "")
+                except ProjectError:
+                    continue
+                for k, (key, senses) in enumerate(found.entries.items()):
+                    base = dict(zip(("kind", "form", "homograph"), key)) | {"doc_id": i, "place": k}
+                    rows.append(base)
+                    rows += [base | {"sense_no": n, "sense": ident, "language": lang, "gloss": g} for n, (ident, gs) in enumerate(senses) for lang, g in gs]
+            yield pa.RecordBatch.from_pylist(rows, schema=_SENSE)
+
+    rows = files.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "doc_id string, kind string, form string, homograph int, place int, sense_no int, sense string, language string, gloss string")
+    rows = materialize(rows.withColumn("entry", F.xxhash64("doc_id", "place")), "lexicon")
+    return rows.where("sense_no is null").select("kind", "form", "homograph", "entry"), rows.where("sense_no is not null").select("entry", "sense_no", "sense", "language", "gloss")
+
+
 def anchored(verses: DataFrame, texts: DataFrame) -> DataFrame:
     """(chapter, verse, kind word|parse|phrase|dropped, cluster, start, stop, ambiguous,
     reason): clusters joined with (chapter, verse, text). An ordered greedy choice inside a

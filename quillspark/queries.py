@@ -7,7 +7,7 @@ from the tables directly.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import replacements, usx, writers
@@ -139,14 +139,14 @@ SELECT p.doc_id, count(*)::BIGINT AS n FROM r p WHERE EXISTS (SELECT 1 FROM r q
 
 
 def fault_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One word with an attribute fault that depends on the id of its document."""
-    docs = _table(spark, sf_dir, "documents")
-    k = F.col("doc_id") % 7
+    """Whole texts, each with a word that has an attribute fault by the id of its document."""
+    docs = verse_documents(spark, sf_dir)
+    k = F.col("doc_id").cast("long") % 7
     body = (
         F.when(k == 0, '\\w|lemma="x"\\w*').when(k == 1, "\\w a|\\w*").when(k == 2, '\\w a|x lemma="y"\\w*').when(k == 3, '\\w a|lemma="x" lemma="y"\\w*')
         .when(k == 4, '\\w a|1x="y"\\w*').when(k == 5, "\\nd a|x\\nd*").otherwise('\\w a|lemma="x"\\w*')
     )
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("\\id XXA\n\\c 1\n\\p\n\\v 1 "), body).alias("text"))
+    return docs.select("doc_id", F.concat("text", F.lit("\n\\p "), body).alias("text"))
 
 
 def attribute_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,19 +180,17 @@ SELECT n_regionkey::BIGINT AS region, 'column ' || col || ' where ' || due || '
 
 
 def woven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English and German documents paired by rank, section by section."""
-    docs = _table(spark, sf_dir, "documents").where("lang in ('en', 'de')")
-    ranked = docs.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("doc_id")))
-    side = lambda lang: text.sections(ranked.where(F.col("lang") == lang).select(F.col("r").cast("long").alias("doc_id"), "text"))
-    out = text.woven(side("en"), side("de"))
+    """Each document of an even id with the one after it, section by section."""
+    docs = _table(spark, sf_dir, "documents")
+    side = lambda k: text.sections(docs.where(F.col("doc_id") % 2 == k).select(F.expr("doc_id div 2").alias("doc_id"), "text"))
+    out = text.woven(side(0), side(1))
     return out.select(F.col("doc_id").alias("pair"), "ord", F.trim("left").alias("left"), F.trim("right").alias("right"))
 
 
 _CUT = "string_split(regexp_replace(regexp_replace({t}, '(^|\\s)([\"''”“‘’(][.?!,۔؟“”\"''‘’،:;()]*)', '\\1' || chr(1) || '\\2', 'g'), '([^.?!,۔؟“”\"''‘’،:;()' || chr(1) || ']|^)([.?!,۔؟“”\"''‘’،:;()]+)', '\\1\\2' || chr(1), 'g'), chr(1))"
 _SECTIONS = "SELECT {id} AS doc_id, unnest(range(0, len(s))) AS ord, unnest(s) AS section FROM (SELECT *, list_filter(" + _CUT.format(t="text") + ", lambda x: trim(x) <> '') AS s FROM {of})"
 SECTIONS = _SECTIONS.format(id="doc_id", of="documents")
-_RANKED = "(SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents WHERE lang IN ('en', 'de'))"
-WOVEN = "WITH s AS (SELECT lang, " + _SECTIONS.format(id="lang, r", of=_RANKED).removeprefix("SELECT lang, ") + ") SELECT a.doc_id AS pair, a.ord, trim(a.section) AS left, trim(b.section) AS right FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.ord = b.ord WHERE a.lang = 'en' AND b.lang = 'de'"
+WOVEN = "WITH s AS (SELECT doc_id % 2 AS side, " + _SECTIONS.format(id="doc_id % 2 AS side, doc_id // 2", of="documents").removeprefix("SELECT doc_id % 2 AS side, ") + ") SELECT a.doc_id AS pair, a.ord, trim(a.section) AS left, trim(b.section) AS right FROM s a JOIN s b ON a.doc_id = b.doc_id AND a.ord = b.ord WHERE a.side = 0 AND b.side = 1"
 
 
 def _term_documents(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -301,16 +299,28 @@ SELECT type, n::BIGINT AS n FROM (
 """
 
 
+#: What stands after the whole text before and after all repairs.
+_REPAIRS = [
+    ("a \\qqq b", "a b"),
+    ("a\\f \\ft b\\f*", "a\\f + \\ft b\\f*"),
+    ("a \\bd b", "a \\bd b\\bd*"),
+    ("\\w a|lemma=b\\w* \\qqq c", '\\w a|lemma="b"\\w* c'),
+    ("x \\qt-s |\\* y", "x \\qt-s\\* y"),
+]
+
+
 def fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with an unknown marker or a note without caller, after all repairs."""
-    docs = _table(spark, sf_dir, "documents")
-    body = F.when(F.col("doc_id") % 2 == 0, F.lit("a \\qqq b")).otherwise(F.lit("a\\f \\ft b\\f*"))
-    given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("\\id XXA\n\\c 1\n\\p\n\\v "), F.col("doc_id") + 1, F.lit(" "), body).alias("text"))
-    return render.fixed(given).select(F.col("doc_id").cast("long").alias("doc_id"), "value")
+    """Whole texts with one or two faults each, after all repairs."""
+    docs = verse_documents(spark, sf_dir)
+    body = F.element_at(F.array(*(F.lit(a) for a, _ in _REPAIRS)), (F.col("doc_id").cast("long") % len(_REPAIRS) + 1).cast("int"))
+    given = docs.select("doc_id", F.concat("text", F.lit("\n\\p "), body).alias("text"))
+    return render.fixed(given).select(F.col("doc_id").cast("long").alias("doc_id"), F.length("value").cast("long").alias("n"), F.sha2("value", 256).alias("digest"), F.substring_index("value", "\n", -1).alias("last_line"))
 
 
-FIXED = """
-SELECT doc_id, '\\id XXA' || chr(10) || '\\c 1' || chr(10) || '\\p' || chr(10) || '\\v ' || (doc_id + 1) || ' ' || CASE WHEN doc_id % 2 = 0 THEN 'a b' ELSE 'a\\f + \\ft b\\f*' END AS value FROM documents
+FIXED = f"""
+WITH l AS ({_LINES}), d AS (SELECT doc_id, '\\id XXA wrapped' || chr(10) || '\\c 1' || chr(10) || '\\p' || chr(10) || string_agg('\\v ' || n || ' ' || line, chr(10) ORDER BY n) AS t FROM l GROUP BY 1),
+f AS (SELECT doc_id, '\\p ' || [{", ".join("'" + b + "'" for _, b in _REPAIRS)}][doc_id % {len(_REPAIRS)} + 1] AS last_line, t || chr(10) || last_line AS v FROM d)
+SELECT doc_id, length(v)::BIGINT AS n, sha256(v) AS digest, last_line FROM f
 """
 
 
@@ -322,8 +332,6 @@ def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.col("doc_id").cast("long").alias("p_partkey"), "value")
 
 
-REPLACED = None
-
 
 def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters of the order documents in the outline, with their span in bytes."""
@@ -340,16 +348,16 @@ SELECT doc_id, count(*)::BIGINT AS chapters, sum(n)::BIGINT AS bytes, min(n)::BI
 
 
 def found_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What stands inside every verse number 3 of the order documents, and its reference."""
+    """What stands inside every verse number of the order documents, and its reference."""
     nodes = _stored_nodes(order_documents(spark, sf_dir))
-    starts = nodes.where("kind = 'verse_start' and number = '3'").select("doc_id", (F.col("span_start") + 1).alias("offset"))
+    starts = nodes.where("kind = 'verse_start'").select("doc_id", (F.col("span_start") + 1).alias("offset"))
     got = index.locate(nodes, starts)
     return got.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "kind", "book", "verse").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("chapter").cast("long")).alias("chapters"))
 
 
 FOUND_AT = """
 WITH r AS (SELECT l_suppkey AS doc_id, l_orderkey % 40 + 1 AS c, unnest([l_linenumber::BIGINT, l_partkey % 5 + 1]) AS v FROM lineitem)
-SELECT doc_id, 'verse_start' AS kind, 'XXA' AS book, '3' AS verse, count(*)::BIGINT AS n, sum(c)::BIGINT AS chapters FROM r WHERE v = 3 GROUP BY 1
+SELECT doc_id, 'verse_start' AS kind, 'XXA' AS book, v::VARCHAR AS verse, count(*)::BIGINT AS n, sum(c)::BIGINT AS chapters FROM r GROUP BY 1, v
 """
 
 _QUERIES = {
@@ -371,15 +379,21 @@ _QUERIES = {
     "k3_json_types": (json_types, JSON_TYPES),
     "k4_html": (html_pages, HTML_PAGES),
     "e_fixed": (fixed, FIXED),
-    "t4_replaced": (replaced, REPLACED),
+    "t4_replaced": (replaced, None),  # its SQL stands beside the rules
     "q2_outline": (outline, OUTLINE),
     "q1_located": (found_at, FOUND_AT),
 }
 
 
+def _all() -> dict:
+    from . import rule_queries
+
+    return _QUERIES | rule_queries.QUERIES | {"t4_replaced": (replaced, rule_queries.REPLACED)}
+
+
 def queries() -> dict:
-    return {k: q for k, (q, _) in _QUERIES.items()}
+    return {k: q for k, (q, _) in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _QUERIES.items() if s}
+    return {k: s for k, (_, s) in _all().items() if s}
