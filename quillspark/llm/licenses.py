@@ -3,7 +3,7 @@
 A softmax regression over word n-grams names the licence family of a paragraph, or "unknown";
 a comparison with the family's templates confirms it. A paragraph is a line, and a line with its
 neighbours, as notices are wrapped. Training is a few hundred sentences on the driver. The scan
-itself is one pass of expressions and joins with the model: lines whose words can't add up to any
+itself is one pass of expressions: lines whose words can't add up to any
 family, whatever their order, are unknown by the weights themselves and leave before anything is
 exploded, the weights of the others' n-grams are summed, and shingles meet the template's.
 """
@@ -166,13 +166,15 @@ def paragraphs(docs: DataFrame, m: LicenceModel, confirm: float = 0.5) -> DataFr
     words = F.filter(F.split(F.lower("piece"), "[^a-z0-9]+"), lambda w: w != "")
     pieces = pieces.select("_row", "doc_id", "line", "wide", words.alias("w"))
     pieces = pieces.select("_row", "doc_id", "line", "wide", F.array_distinct("w").alias("w"), F.array_distinct(_pairs(F.col("w"))).alias("p"))
-    weights = _literal(spark, [{"gram": g, "w": w} for g, w in zip(m.vocabulary, m.weights)], "gram:string,w:array<double>")
-    grams = pieces.select("_row", "doc_id", "line", "wide", "p", F.explode_outer(F.concat("w", "p")).alias("gram"))
-    hits = grams.join(F.broadcast(weights), "gram", "left")
+    # The grams that the model knows are few, so their weights are looked up and added in place:
+    # nothing is shuffled but the verdicts.
     k = len(m.families)
-    sums = hits.groupBy("_row", "line", "wide").agg(F.first("doc_id").alias("doc_id"), F.first("p").alias("p"), *(F.coalesce(F.sum(F.col("w")[c]), F.lit(0.0)).alias(f"z{c}") for c in range(k)))
-    z = F.array(*(F.col(f"z{c}") + F.lit(m.bias[c]) for c in range(k)))
-    best = sums.select("_row", "line", "wide", "doc_id", "p", z.alias("z")).withColumn("top", F.array_max("z"))
+    vocabulary = F.from_json(F.lit(json.dumps(m.vocabulary)), "array<string>")
+    weights = F.from_json(F.lit(json.dumps(dict(zip(m.vocabulary, m.weights)))), "map<string,array<double>>")
+    bias = F.from_json(F.lit(json.dumps(m.bias)), "array<double>")
+    known = pieces.withColumn("known", F.array_intersect(F.concat("w", "p"), vocabulary)).drop("w")
+    z = F.aggregate("known", bias, lambda s, g: F.zip_with(s, F.element_at(weights, g), lambda x, y: x + y))
+    best = known.withColumn("z", F.when(F.col("line").isNotNull(), z)).withColumn("top", F.array_max("z"))
     best = best.withColumn("probability", 1 / F.aggregate("z", F.lit(0.0), lambda s, v: s + F.exp(v - F.col("top"))))
     best = best.withColumn("c", (F.array_position("z", F.col("top")) - 1).cast("int"))
     named = F.col("line").isNotNull() & (F.col("c") < k - 1) & (F.col("probability") >= m.cutoff)
