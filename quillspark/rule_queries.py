@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import html, replacements, writers
@@ -16,7 +16,10 @@ from .plans import render
 from .queries import _LINES, _stored_nodes, _table, _term_documents, order_documents, verse_documents
 from .sources import markup
 
-_ID = F.col("doc_id").cast("long").alias("doc_id")
+
+
+def _id() -> Column:
+    return F.col("doc_id").cast("long").alias("doc_id")
 
 
 def _values(rows) -> str:
@@ -25,7 +28,7 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(map(show, r)) + ")" for r in rows)
 
 
-def _chosen(key, options: list) -> F.Column:
+def _chosen(key, options: list) -> Column:
     """The option whose number is ``key``."""
     out = F.when(key == 0, options[0])
     for k, o in enumerate(options[1:], 1):
@@ -59,7 +62,7 @@ def constructs(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = nodes.where("kind in ('sidebar', 'periph', 'milestone', 'char', 'note', 'table', 'row', 'cell') or marker = 'usfm' or alt_number is not null")
     detail = F.concat_ws("|", "alt_number", "pub_number", "caller", "category", "title", "alignment", "col", "colspan", F.col("header").cast("string"))
     pairs = F.array_join(F.transform("attributes", lambda a: F.concat(a["name"], F.lit("="), a["value"])), ";")
-    rows = own.select(_ID, "kind", F.coalesce("marker", F.lit("")).alias("marker"), detail.alias("detail"), F.coalesce(pairs, F.lit("")).alias("pairs"))
+    rows = own.select(_id(), "kind", F.coalesce("marker", F.lit("")).alias("marker"), detail.alias("detail"), F.coalesce(pairs, F.lit("")).alias("pairs"))
     return rows.groupBy("doc_id", "kind", "marker", "detail", "pairs").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -93,7 +96,7 @@ def faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = [F.concat(F.lit(a), lines, F.lit(b)) for a, b, _ in _FAULTS] + [F.lit("\\id XXA x"), F.concat(F.lit("\\id XXA x\n\\c 1\n\\p\n"), lines)]
     given = docs.select(F.col("doc_id").cast("string").alias("doc_id"), _chosen(k, options).alias("text"))
     found = checks.analyze(_stored_nodes(given))
-    return found.groupBy(_ID, "code", "severity").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(_id(), "code", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 FAULTS = f"""
@@ -117,7 +120,7 @@ def policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     for level in ("error", "warning"):
         out = out.join(diagnostics.accepted(docs, after, level).select("doc_id", F.lit(True).alias(f"at_{level}")), "doc_id", "left")
     parsers = found.where("origin = 'parser'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("of_parser"))
-    return out.join(parsers, "doc_id", "left").select(_ID, F.col("before").cast("long").alias("before"), "n", F.coalesce("after", F.lit(0)).cast("long").alias("after"), F.coalesce("at_error", F.lit(False)).alias("at_error"), F.coalesce("at_warning", F.lit(False)).alias("at_warning"), "of_parser")
+    return out.join(parsers, "doc_id", "left").select(_id(), F.col("before").cast("long").alias("before"), "n", F.coalesce("after", F.lit(0)).cast("long").alias("after"), F.coalesce("at_error", F.lit(False)).alias("at_error"), F.coalesce("at_warning", F.lit(False)).alias("at_warning"), "of_parser")
 
 
 POLICY = """
@@ -173,7 +176,7 @@ def written(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     got = render.per_text(verse_documents(spark, sf_dir), digests)
     parts = F.split("value", " ")
-    return got.select(_ID, *(parts[k].alias(c) for k, c in enumerate(("usfm", "usx", "sile", "html"))))
+    return got.select(_id(), *(parts[k].alias(c) for k, c in enumerate(("usfm", "usx", "sile", "html"))))
 
 
 _ESCAPED = "replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -196,7 +199,7 @@ def paragraph_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.concat(F.lit("\\p "), x, F.lit("\\f + \\ft A note. More.\\f*")))
     docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("\\id XXA x\n\\c 1\n"), F.array_join(lines, "\n")).alias("text"))
     nodes = markup.nodes(markup.parsed(docs, fields=text.FIELDS, diagnostics=False))
-    return text.document_sections(nodes).select(_ID, "ord", "section")
+    return text.document_sections(nodes).select(_id(), "ord", "section")
 
 
 def _paragraph_sections_sql() -> str:
@@ -242,7 +245,7 @@ def chapter_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     verse = index.verses(nodes).join(inside.withColumnRenamed("verse_seq", "seq"), ["doc_id", "seq"]).select("doc_id", (F.col("start")[0] - 1).alias("start"), "k")
     verses = verse.groupBy("doc_id", "start").agg(F.count(F.lit(1)).alias("verses"), F.sum("k").alias("verse_nodes"))
     out = found.join(held, ["doc_id", "start"]).join(verses, ["doc_id", "start"])
-    return out.select(_ID, F.col("chapter_no").cast("long").alias("chapter_no"), "number", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "held", "verses", "verse_nodes")
+    return out.select(_id(), F.col("chapter_no").cast("long").alias("chapter_no"), "number", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "held", "verses", "verse_nodes")
 
 
 _ORDERED = "SELECT l_suppkey AS doc_id, l_orderkey % 40 + 1 AS c, l_linenumber AS v1, l_partkey % 5 + 1 AS v2, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) AS k FROM lineitem"
@@ -256,7 +259,7 @@ def looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = _stored_nodes(order_documents(spark, sf_dir))
     chapter = index.find_chapter(index.chapters(nodes), 7).select("doc_id", "chapter_no")
     verse = index.find_verse(index.verses(nodes), 7, 3).select("doc_id", (F.col("start")[0] - 1).cast("long").alias("verse_block"))
-    return chapter.join(verse, "doc_id", "full").select(_ID, F.col("chapter_no").cast("long").alias("chapter_no"), "verse_block")
+    return chapter.join(verse, "doc_id", "full").select(_id(), F.col("chapter_no").cast("long").alias("chapter_no"), "verse_block")
 
 
 LOOKED_UP = f"""
@@ -295,7 +298,7 @@ def versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = verse_documents(spark, sf_dir)
     line = F.when(F.col("doc_id").cast("long") % 3 == 0, F.concat(F.lit("\n\\usfm  3."), F.col("doc_id").cast("long") % 7, F.lit(" \n\\p x"))).otherwise("")
     nodes = markup.nodes(markup.parsed(docs.select("doc_id", F.concat("text", line).alias("text")), fields=("seq", "path", "depth", "kind", "marker", "content"), diagnostics=False))
-    return index.usfm_versions(markup.stored(nodes)).select(_ID, "version")
+    return index.usfm_versions(markup.stored(nodes)).select(_id(), "version")
 
 
 VERSIONS = "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '3.' || (doc_id % 7) END AS version FROM documents"
@@ -316,7 +319,7 @@ def citation_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     names.add("1 Samuel", "1SA")
     nodes = markup.nodes(markup.parsed(docs, fields=references.FIELDS, diagnostics=False))
     found = references.cross_references(nodes, names=names)
-    return found.groupBy(_ID, "book", "chapter", "verse", F.coalesce("part", F.lit("")).alias("part"), "linked").agg(F.count(F.lit(1)).alias("n"))
+    return found.groupBy(_id(), "book", "chapter", "verse", F.coalesce("part", F.lit("")).alias("part"), "linked").agg(F.count(F.lit(1)).alias("n"))
 
 
 CITATION_FORMS = """
@@ -330,7 +333,7 @@ def unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry_docs, word_docs = _term_documents(spark, sf_dir)
     node = lambda d: markup.nodes(markup.parsed(d, fields=references.FIELDS, diagnostics=False))
     words = references.unresolved(references.glossary_words(node(word_docs), references.glossary(node(entry_docs))))
-    return words.groupBy(_ID, "normal").agg(F.count(F.lit(1)).alias("n"))
+    return words.groupBy(_id(), "normal").agg(F.count(F.lit(1)).alias("n"))
 
 
 UNRESOLVED = """
