@@ -8,11 +8,12 @@ phrase once, with the smallest document that holds it. Dictionary and parse make
 the corpus in two steps, block by block, as a trigger belongs to one block:
 
 * parse: a phrase that stands, whole, in a smaller document has all its strings covered. Phrases
-  are compared by fingerprints, some 15 bytes for each phrase instead of its bytes.
+  are compared by fingerprints, some 19 bytes for each phrase instead of its bytes.
 * dictionary: only where different phrases share a trigger and the 15 bytes before or after it
-  can they share strings. Those phrases send their bytes, and each block sorts all suffixes of at
-  least 50 bytes of its phrases by prefix doubling. Neighbours in this suffix array that agree
-  in 50 bytes are one string, compared byte by byte; the smallest document keeps it.
+  can they share strings. Those phrases send their bytes. A string whose hash no other document
+  of the block has is its document's own; each block sorts the suffixes that begin the others by
+  prefix doubling. Neighbours in this suffix array that agree in 50 bytes are one string,
+  compared byte by byte; the smallest document keeps it.
 
 As no string crosses from one phrase into the next, the suffix array of the parse, which orders
 those that do, has nothing left to decide and is not built.
@@ -37,8 +38,8 @@ from .common import materialize, table, utf8
 
 WIDTH, GRAM, SIDE = 50, 20, 15  # 2 * SIDE == WIDTH - GRAM: a window holds one side in full
 SEGMENT_BYTES, SEGMENT_DOCS = 8 << 20, 60_000
-BUCKET_BYTES = 24 << 20
-_CHUNK = 1 << 17
+BUCKET_BYTES, BATCH_BYTES = 24 << 20, 16 << 20
+_CHUNK = 1 << 16
 _U = np.uint64
 _PLACE = _U((1 << 18) - 1)
 _r = np.random.default_rng(20240311)
@@ -56,14 +57,16 @@ _UP, _DOWN = _accumulate(_BASE), _accumulate(pow(_BASE, -1, 2**64))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(29))) * _U(0xBF58476D1CE4E5B9)
-    return x ^ (x >> _U(32))
+    x = x ^ (x >> _U(29))
+    x *= _U(0xBF58476D1CE4E5B9)
+    x ^= x >> _U(32)
+    return x
 
 
 class Phrases:
     """Arrays over the phrases of one segment: ``first`` and ``last`` window start, ``doc``
     (index), ``at`` (trigger), ``key`` (trigger hash), ``body`` (content hash), ``left`` and
-    ``right`` (one-byte fingerprints of the sides, 0 where no window holds that side)."""
+    ``right`` (two-byte fingerprints of the sides, 0 where no window holds that side)."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         parts = []
@@ -72,10 +75,11 @@ class Phrases:
             near = cuts[np.searchsorted(cuts, c) : np.searchsorted(cuts, min(len(data) - WIDTH + 1, c + _CHUNK))] - c
             parts.append(self._chunk(data, c, near))
         if not parts:
-            parts = [[np.zeros(0, k) for k in (np.int64, np.int64, np.int64, _U, _U, np.uint8, np.uint8)]]
+            parts = [[np.zeros(0, k) for k in (np.int64, np.int64, np.int64, _U, _U, np.uint16, np.uint16)]]
         self.first, self.last, self.at, self.key, self.body, self.left, self.right = (np.concatenate(x) for x in zip(*parts))
-        self.doc = np.searchsorted(offsets, self.first, "right") - 1
+        self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(self.first, offsets)))
         inside = self.first + WIDTH <= offsets[self.doc + 1] if len(self.first) else np.zeros(0, bool)
+        inside = np.flatnonzero(inside)
         for k in ("first", "last", "at", "key", "body", "left", "right", "doc"):
             setattr(self, k, getattr(self, k)[inside])
 
@@ -85,7 +89,7 @@ class Phrases:
         n = len(a)
         m, span = n - WIDTH + 1, WIDTH - GRAM + 1
         run = np.zeros(n + 1, _U)
-        np.cumsum(_BYTE[a] * _UP[:n], out=run[1:])
+        np.cumsum(_BYTE.take(a) * _UP[:n], out=run[1:])
         h = _mix((run[GRAM:] - run[:-GRAM]) * _DOWN[: n - GRAM + 1])
         # The place in the chunk makes the low bits: of equal hashes the leftmost is the trigger.
         low, w = (h & ~_PLACE) | np.arange(len(h), dtype=_U), 1
@@ -102,25 +106,44 @@ class Phrases:
         at = (low[first] & _PLACE).astype(np.int64)
         key = h[at]
         body = _mix((run[last + WIDTH] - run[first]) * _DOWN[first] + (last - first).astype(_U))
-        side = lambda s, ok: np.where(ok, (_mix((run[np.minimum(s + SIDE, n)] - run[s]) * _DOWN[s]) >> _U(40)).astype(np.uint8) | 1, 0).astype(np.uint8)
+        side = lambda s, ok: np.where(ok, (_mix((run[np.minimum(s + SIDE, n)] - run[s]) * _DOWN[s]) >> _U(48)).astype(np.uint16) | 1, 0).astype(np.uint16)
         left = side(np.maximum(at - SIDE, 0), at - first >= SIDE)
         right = side(np.minimum(at + GRAM, n), last + WIDTH >= at + GRAM + SIDE)
         return first + c, last + c, at + c, key, body, left, right
 
 
-def _merge(ids: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of records with equal keys the one with the smallest id, in the order of the records;
-    and for each record the place of its representative among those."""
-    order = np.lexsort((ids, *keys))
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)
-    group = np.cumsum(new) - 1
-    chosen = order[new]
-    rank = np.argsort(np.argsort(chosen, kind="stable"), kind="stable")
+def _grouped(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings rows with equal keys together, by the first key, and where in it a
+    new group begins. The first key, of 64 bits, nearly decides alone: one sort of numbers does,
+    and only rows in which it is equal and another key is not are sorted by all."""
+    order = np.argsort(keys[0])
+    cols = [k[order] for k in keys]
+    first, new = np.ones(len(order), bool), np.ones(len(order), bool)
+    first[1:] = cols[0][1:] != cols[0][:-1]
+    new[1:] = first[1:]
+    for c in cols[1:]:
+        new[1:] |= c[1:] != c[:-1]
+    mixed = np.cumsum(first)[new & ~first]
+    if len(mixed):
+        rows = np.flatnonzero(np.isin(np.cumsum(first), mixed))
+        order[rows] = order[rows][np.lexsort([c[rows] for c in reversed(cols)])]
+        new[1:] = first[1:]
+        for k in keys[1:]:
+            c = k[order]
+            new[1:] |= c[1:] != c[:-1]
+    return order, new
+
+
+def _merge(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of records with equal keys the first, in the order of the records; and for each record
+    the place of its representative among those."""
+    order, new = _grouped(*keys)
+    chosen = np.minimum.reduceat(order, np.flatnonzero(new)) if len(order) else order
+    is_rep = np.zeros(len(order), bool)
+    is_rep[chosen] = True
     of = np.empty(len(order), np.int64)
-    of[order] = rank[group]
-    return np.sort(chosen), of
+    of[order] = (np.cumsum(is_rep) - 1)[chosen][np.cumsum(new) - 1]
+    return np.flatnonzero(is_rep), of
 
 
 def _planes(x: np.ndarray) -> list[bytes]:
@@ -128,12 +151,14 @@ def _planes(x: np.ndarray) -> list[bytes]:
 
 
 def _owners(ids: np.ndarray) -> list[bytes]:
-    own, at = np.unique(ids, return_inverse=True)
+    """Ids in rising order as distinct ids and the place of each among them."""
+    new = np.concatenate(([True], ids[1:] != ids[:-1]))[: len(ids)]
+    own, at = ids[new], np.cumsum(new) - 1
     return [np.array([len(own), len(ids)], "<u4").tobytes(), own.astype("<i8").tobytes(), at.astype("<u2").tobytes()]
 
 
 def _pack(ids: np.ndarray, key: np.ndarray, body: np.ndarray, left: np.ndarray, right: np.ndarray) -> bytes:
-    return b"".join([*_owners(ids), *_planes(key), body.astype("<u8").tobytes(), left.tobytes(), right.tobytes()])
+    return b"".join([*_owners(ids), *_planes(key), body.astype("<u8").tobytes(), left.astype("<u2").tobytes(), right.astype("<u2").tobytes()])
 
 
 def _fields(blob: bytes, kinds) -> list[np.ndarray]:
@@ -146,7 +171,7 @@ def _fields(blob: bytes, kinds) -> list[np.ndarray]:
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    ids, low, high, body, left, right, _ = _fields(blob, ("<u4", "u1", "<u8", "u1", "u1"))
+    ids, low, high, body, left, right, _ = _fields(blob, ("<u4", "u1", "<u8", "<u2", "<u2"))
     return ids, low.astype(_U) | (high.astype(_U) << _U(32)), body.astype(_U), left, right
 
 
@@ -155,35 +180,31 @@ CLEAR, COVERED, LEFT, RIGHT = 0, 1, 2, 4
 
 def _judge(ids, key, body, left, right) -> np.ndarray:
     """The dictionary step over all records of one bucket."""
-    order = np.lexsort((ids, right, left, body, key))
-    i, k, b, lf, rt = ids[order], key[order], body[order], left[order], right[order]
-    new_key = np.concatenate(([True], k[1:] != k[:-1]))
-    new = new_key.copy()
-    new[1:] |= (b[1:] != b[:-1]) | (lf[1:] != lf[:-1]) | (rt[1:] != rt[:-1])
+    order, new = _grouped((key << _U(24)) | (body >> _U(40)), body, left, right)
+    i, head = ids[order], np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    head = np.flatnonzero(new)
-    out = np.where(i > i[head][group], COVERED, CLEAR).astype(np.uint8)
-    # Contents that share a trigger, by heads: do two documents have the same side?
-    several = np.bincount(np.cumsum(new_key)[head] - 1)[np.cumsum(new_key)[head] - 1] > 1
-    h = head[several]
+    least = np.minimum.reduceat(i, head)
+    one = order[head]
+    k = key[one]
+    # Contents that share a trigger, one row each: do two documents have the same side?
+    new_key = np.concatenate(([True], k[1:] != k[:-1]))
+    trigger = np.cumsum(new_key) - 1
+    several = np.flatnonzero(np.bincount(trigger)[trigger] > 1)
     flags = np.zeros(len(head), np.uint8)
-    for bit, side in ((LEFT, lf), (RIGHT, rt)):
-        ok = np.flatnonzero(side[h] > 0)
-        o = ok[np.lexsort((i[h][ok], side[h][ok], k[h][ok]))]
-        if len(o) < 2:
+    for bit, side in ((LEFT, left[one]), (RIGHT, right[one])):
+        at = several[side[several] > 0]
+        if len(at) < 2:
             continue
-        kk, ss, ii = k[h][o], side[h][o], i[h][o]
-        start = np.concatenate(([True], (kk[1:] != kk[:-1]) | (ss[1:] != ss[:-1])))
-        least = ii[np.flatnonzero(start)][np.cumsum(start) - 1]
+        both = (k[at] << _U(16)) | side[at].astype(_U)
+        o = np.argsort(both)
+        start = np.concatenate(([True], both[o][1:] != both[o][:-1]))
         # Only strings of a document greater than the least can be covered, but the least's
         # own strings are what covers them: both sides of such a group go on.
-        greatest = np.maximum.reduceat(ii, np.flatnonzero(start))[np.cumsum(start) - 1]
-        flags[np.flatnonzero(several)[o[greatest > least]]] |= bit
+        low, high = (f.reduceat(least[at][o], np.flatnonzero(start)) for f in (np.minimum, np.maximum))
+        flags[at[o[(high > low)[np.cumsum(start) - 1]]]] |= bit
     # Rows that repeat the head's document in other segments have the same strings to sort.
-    same = i == i[head][group]
-    out[same] |= flags[group][same]
     verdict = np.empty(len(order), np.uint8)
-    verdict[order] = out
+    verdict[order] = np.where(i > least[group], COVERED, flags[group])
     return verdict
 
 
@@ -200,23 +221,51 @@ def suffix_ranks(data: np.ndarray) -> np.ndarray:
     for step, width in ((8, 16), (16, 32), (18, WIDTH)):
         m = len(data) - width + 1
         both = rank[:m] * (int(rank.max()) + 1) + rank[step : step + m]
-        rank, have = np.unique(both, return_inverse=True)[1].astype(np.int64), width
+        rank, have = np.unique(both, return_inverse=True)[1], width
     return rank[:n]
 
 
+def string_hashes(data: np.ndarray) -> np.ndarray:
+    """A rolling hash of the 50 bytes at each place of ``data``."""
+    parts = [np.zeros(0, _U)]
+    for c in range(0, len(data) - WIDTH + 1, _CHUNK):
+        a = data[c : c + _CHUNK + WIDTH - 1]
+        run = np.zeros(len(a) + 1, _U)
+        np.cumsum(_BYTE.take(a) * _UP[: len(a)], out=run[1:])
+        parts.append(_mix((run[WIDTH:] - run[:-WIDTH]) * _DOWN[: len(a) - WIDTH + 1]))
+    return np.concatenate(parts)
+
+
+def _in_smaller(ids: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: has its rank a smaller id, too? Has it any other id?"""
+    order, new = _grouped(rank)
+    start, group, i = np.flatnonzero(new), np.cumsum(new) - 1, ids[order]
+    least, most = np.minimum.reduceat(i, start), np.maximum.reduceat(i, start)
+    smaller, other = np.empty(len(order), bool), np.empty(len(order), bool)
+    smaller[order] = i > least[group]
+    other[order] = (most > least)[group]
+    return smaller, other
+
+
 def _judge_suffixes(blobs: list[bytes]) -> list[np.ndarray]:
-    """For each string of the phrases in ``blobs``: does it start in a smaller document, too?"""
+    """For each string of the phrases in ``blobs``: does it start in a smaller document, too?
+
+    Equal strings have equal hashes: those whose hash no other document has are done. The
+    suffixes of the others are sorted, by runs of such strings."""
     got = [_fields(x, ("u1",)) for x in blobs]
     counts = np.concatenate([g[1] for g in got]).astype(np.int64)
     data = np.concatenate([g[2] for g in got])
     ids = np.repeat(np.concatenate([g[0] for g in got]), counts)
     at = _places(np.cumsum(counts + WIDTH - 1) - counts - WIDTH + 1, counts)
-    rank = suffix_ranks(data)[at]
-    order = np.lexsort((ids, rank))
-    new = np.ones(len(order), bool)
-    new[1:] = rank[order][1:] != rank[order][:-1]
-    verdict = np.empty(len(order), np.uint8)
-    verdict[order] = ids[order] > ids[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    verdict = np.zeros(len(at), np.uint8)
+    left = np.flatnonzero(_in_smaller(ids, string_hashes(data)[at])[1])
+    if len(left):
+        at, ids = at[left], ids[left]
+        begin = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
+        runs = np.diff(np.append(begin, len(at)))
+        data = data[_places(at[begin], runs + WIDTH - 1)]
+        rank = suffix_ranks(data)[_places(np.cumsum(runs + WIDTH - 1) - runs - WIDTH + 1, runs)]
+        verdict[left] = _in_smaller(ids, rank)[0]
     return np.split(verdict, np.cumsum([int(g[1].astype(np.int64).sum()) for g in got])[:-1])
 
 
@@ -251,7 +300,7 @@ class Segment:
         self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(data) if len(data) else b"", np.uint8)
         self.phrases = Phrases(self.data, self.offsets)
         p = self.phrases
-        self.rep, self.of = _merge(self.ids[p.doc], p.key, p.body)
+        self.rep, self.of = _merge(p.body, p.key)  # documents by id, so the first is the least
 
     def records(self):
         p, r = self.phrases, self.rep
@@ -297,7 +346,7 @@ def _bucket(key: np.ndarray, buckets: int) -> np.ndarray:
 
 def _by_bucket(key: np.ndarray, buckets: int):
     at = _bucket(key, buckets)
-    order = np.argsort(at, kind="stable")
+    order = np.argsort(at.astype(np.min_scalar_type(buckets)), kind="stable")
     edge = np.searchsorted(at[order], np.arange(buckets + 1)) if buckets < 100_000 else None
     if edge is None:
         used, begin = np.unique(at[order], return_index=True)
@@ -335,6 +384,8 @@ def segments(docs: DataFrame) -> DataFrame:
 
         def flush():
             nonlocal ids, texts, size, count
+            by_id = sorted(range(len(ids)), key=ids.__getitem__)
+            ids, texts = [ids[i] for i in by_id], [texts[i] for i in by_id]
             row = {"seg": base + count, "ids": ids, "sizes": [len(t) for t in texts], "data": zstandard.ZstdCompressor(3).compress(b"".join(texts)), "bytes": size}
             ids, texts, size, count = [], [], 0, count + 1
             return pa.RecordBatch.from_pylist([row], schema=SEGMENT)
@@ -362,9 +413,22 @@ def _rows(batches):
             yield {c: b.column(k)[i].as_py() for k, c in enumerate(b.schema.names)}
 
 
-def _blobs(seg: int, records, buckets: int):
-    for b, rows in _by_bucket(records[1], buckets):
-        yield pa.RecordBatch.from_arrays([pa.array([seg]), pa.array([b]), pa.array([_pack(*(x[rows] for x in records))], pa.binary())], schema=RECORD)
+def _blobs(seg: int, key: np.ndarray, buckets: int, pack):
+    """A packed row for each bucket of a segment, in few batches."""
+    at, blobs, size = [], [], 0
+
+    def batch():
+        return pa.RecordBatch.from_arrays([pa.array([seg] * len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(blobs, pa.binary())], schema=RECORD)
+
+    for b, rows in _by_bucket(key, buckets):
+        at.append(b)
+        blobs.append(pack(rows))
+        size += len(blobs[-1])
+        if size > BATCH_BYTES:
+            yield batch()
+            at, blobs, size = [], [], 0
+    if at:
+        yield batch()
 
 
 def repeated_strings(docs: DataFrame) -> DataFrame:
@@ -377,22 +441,21 @@ def repeated_strings(docs: DataFrame) -> DataFrame:
     named = docs.select("doc_id", "text").where("doc_id is not null")
     segs = materialize(segments(named), "segments")
     total = segs.agg(F.sum("bytes")).first()[0] or 0
-    buckets = max(8, -(-total // 16 * 15 // BUCKET_BYTES))
+    buckets = max(8, -(-total // 16 * 19 // BUCKET_BYTES))
 
     def phrases(batches):
         for r in _rows(batches):
             s = Segment(r["ids"], r["sizes"], r["data"])
-            yield from _blobs(r["seg"], s.records(), buckets)
+            records = s.records()
+            yield from _blobs(r["seg"], records[1], buckets, lambda rows: _pack(*(x[rows] for x in records)))
 
     def strings(batches):
         for r in _rows(batches):
             s = Segment(r["ids"], r["sizes"], r["data"])
             _, _, phrase, counts, first, block = s.suspects(s.verdicts(r["answers"], buckets))
             ids = s.ids[s.phrases.doc[phrase]]
-            for b, rows in _by_bucket(block, buckets):
-                text = s.data[_places(first[rows], counts[rows] + WIDTH - 1)]
-                blob = b"".join([*_owners(ids[rows]), counts[rows].astype("u1").tobytes(), text.tobytes()])
-                yield pa.RecordBatch.from_arrays([pa.array([r["seg"]]), pa.array([b]), pa.array([blob], pa.binary())], schema=RECORD)
+            pack = lambda rows: b"".join([*_owners(ids[rows]), counts[rows].astype("u1").tobytes(), s.data[_places(first[rows], counts[rows] + WIDTH - 1)].tobytes()])
+            yield from _blobs(r["seg"], block, buckets, pack)
 
     def remove(batches):
         for r in _rows(batches):

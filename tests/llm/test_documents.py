@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 from quillspark.llm import components, decontam, divergence, gam, licenses, minhash, mixing, phrases, sharding
 
@@ -143,6 +144,71 @@ def test_suffix_ranks():
     assert len(phrases.suffix_ranks(data[:49])) == 0
 
 
+def packed_strings(rows):
+    """(doc_id, phrase) in rising order of ids as a block gets them, and its answer by brute force."""
+    ids = np.array([i for i, _ in rows])
+    blob = b"".join([*phrases._owners(ids), np.array([len(t) - 49 for _, t in rows], "u1").tobytes(), *(t for _, t in rows)])
+    least = {}
+    for i, t in rows:
+        for k in range(len(t) - 49):
+            least[t[k : k + 50]] = min(i, least.get(t[k : k + 50], i))
+    return blob, [int(i > least[t[k : k + 50]]) for i, t in rows for k in range(len(t) - 49)]
+
+
+def test_only_strings_that_can_be_shared_are_sorted(monkeypatch):
+    r = random.Random(5)
+    piece = lambda n: bytes(r.choices(range(97, 123), k=n))
+    shared, trigger = piece(53), piece(35)
+    rows = [(i, piece(20) + trigger + piece(20)) for i in range(200)] + [(200, piece(9) + shared + piece(5)), (300, shared + piece(8))]
+    blob, want = packed_strings(rows)
+    sizes, ranks = [], phrases.suffix_ranks
+    monkeypatch.setattr(phrases, "suffix_ranks", lambda data: (sizes.append(len(data)), ranks(data))[1])
+    assert np.concatenate(phrases._judge_suffixes([blob])).tolist() == want and sum(want) == 4
+    assert sizes == [2 * 53]
+    # A hash that tells nothing apart costs sorting, not results.
+    monkeypatch.setattr(phrases, "string_hashes", lambda data: np.zeros(len(data) - 49, np.uint64))
+    assert np.concatenate(phrases._judge_suffixes([blob])).tolist() == want and sizes[1] > 15_000
+
+
+def test_phrases_with_near_equal_fingerprints():
+    r = np.random.default_rng(6)
+    n = 4000
+    ids = np.sort(r.integers(0, 90, n))
+    key, body = r.integers(0, 4, n).astype(np.uint64), (r.integers(0, 3, n) << 40 | r.integers(0, 40, n)).astype(np.uint64)
+    left, right = ((body % np.uint64(k)).astype(np.uint16) for k in (30, 7))
+    order, new = phrases._grouped((key << np.uint64(24)) | (body >> np.uint64(40)), body, left, right)
+    assert sorted(order.tolist()) == list(range(n)) and new.sum() == len({*zip(key.tolist(), body.tolist())})
+    rep, of = phrases._merge(key, body)
+    first = {}
+    want = [first.setdefault(k, i) for i, k in enumerate(zip(key.tolist(), body.tolist()))]
+    assert rep[of].tolist() == want
+    least, sides = {}, {}
+    for i, k, b, lf, rt in zip(ids.tolist(), key.tolist(), body.tolist(), left.tolist(), right.tolist()):
+        least[k, b] = min(i, least.get((k, b), i))
+        for s in ((k, "l", lf), (k, "r", rt)):
+            sides.setdefault(s, set()).add(b)
+    several = {k for k, _ in least if len({b for j, b in least if j == k}) > 1}
+    for i, k, b, lf, rt, v in zip(ids.tolist(), key.tolist(), body.tolist(), left.tolist(), right.tolist(), phrases._judge(ids, key, body, left, right).tolist()):
+        if i > least[k, b]:
+            assert v == phrases.COVERED
+        else:
+            assert v == sum(bit for bit, s in ((phrases.LEFT, (k, "l", lf)), (phrases.RIGHT, (k, "r", rt))) if s[2] and k in several and len({least[k, x] for x in sides[s]}) > 1)
+
+
+def test_sides_of_two_bytes_and_one_batch_for_a_segment():
+    r = random.Random(7)
+    texts = [bytes(r.choices(range(97, 123), k=9000)) for _ in range(4)]
+    s = phrases.Segment([1, 2, 3, 4], [len(t) for t in texts], zstandard.ZstdCompressor().compress(b"".join(texts)))
+    ids, key, body, left, right = records = s.records()
+    assert len({*left.tolist()}) > 500 and len({*right.tolist()}) > 500
+    batches = list(phrases._blobs(9, key, 50, lambda rows: phrases._pack(*(x[rows] for x in records))))
+    assert len(batches) == 1 and batches[0].column(1).to_pylist() == list(range(50))
+    back = [np.concatenate(x) for x in zip(*map(phrases._unpack, batches[0].column(2).to_pylist()))]
+    order = np.argsort(phrases._bucket(key, 50), kind="stable")
+    for got, want in zip(back, (ids, key & np.uint64(2**40 - 1), body, left, right)):
+        assert got.tolist() == want[order].tolist()
+
+
 def test_repeats_awkward(odd, empty):
     out = phrases.repeated_strings(odd).toPandas()
     assert len(out) == len(awkward())
