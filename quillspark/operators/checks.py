@@ -3,15 +3,24 @@
 Checks that look at one row, or at it and its neighbours, are one array of findings per row,
 exploded once. Order checks run over chapters and verses only; repeated verse numbers are an
 interval join inside a chapter, never an enumeration of a range.
+
+Documents that are parsed anyway are checked while they are walked (``of_documents``), by the same
+rules; ``analyze`` is for node tables that were joined, changed or read from elsewhere.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codes import CODES
+from ..functions.findings import findings
+from ..functions.parser import ByteOffsets, Document, parse
 from ..functions.style import Sheet, default_sheet, sheet_table
+from ..sources.markup import ROWS, dealt
 
 _NAME = "^[A-Za-z_][A-Za-z0-9._-]*$"
 
@@ -156,3 +165,34 @@ def analyze(nodes: DataFrame, lengths: DataFrame | None = None, sheet: Sheet | N
     found = _row_checks(rows, lengths, sheet).unionByName(_columns(nodes)).unionByName(_chapters(rows)).unionByName(_verses(rows))
     severity = F.create_map(*[F.lit(x) for c, (s, _) in CODES.items() for x in (c, s)])
     return found.withColumn("severity", severity[F.col("code")]).withColumn("pass", F.lit(1))
+
+
+_FOUND = pa.schema([("doc_id", pa.string()), ("span_start", pa.int64()), ("span_end", pa.int64()), ("severity", pa.string()), ("code", pa.string()), ("message", pa.string()), ("seq", pa.int32()), ("pass", pa.int32())])
+
+
+def of_documents(docs: DataFrame, sheet: Sheet | None = None, reader: Callable[..., Document] = parse, parser: bool = False) -> DataFrame:
+    """All findings in (doc_id, text), as ``analyze`` has them of its nodes with the lengths, and
+    with ``parser`` those of the parser (pass 0). One pass, in which only findings leave Python."""
+
+    def run(batches):
+        out: list[tuple] = []
+
+        def taken():
+            part = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _FOUND)], schema=_FOUND)
+            out.clear()
+            return part
+
+        for b in batches:
+            texts = b.column(1)
+            for i, ident in enumerate(b.column(0).cast(pa.string()).to_pylist()):
+                doc = reader(texts[i].as_py() or "", sheet)
+                out += [(ident, a, z, CODES[code][0], code, message, seq, 1) for seq, code, message, a, z in findings(doc, sheet)]
+                if parser and doc.diagnostics:
+                    at = ByteOffsets(doc.source)
+                    out += [(ident, at(d.start), at(d.end), d.severity, d.code, d.message, k, 0) for k, d in enumerate(doc.diagnostics)]
+                if len(out) >= ROWS:
+                    yield taken()
+        if out:
+            yield taken()
+
+    return dealt(docs.select("doc_id", "text")).mapInArrow(run, "doc_id string, span_start bigint, span_end bigint, severity string, code string, message string, seq int, pass int")

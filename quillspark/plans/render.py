@@ -65,8 +65,7 @@ def prompts(woven: DataFrame) -> DataFrame:
 
 def diagnosed(docs: DataFrame, sheet: Sheet | None = None, lint: dict[str, str] | None = None, source: str = "usfm") -> DataFrame:
     """Diagnostics of parser and checks together, after lint levels."""
-    parsed = markup.stored(markup.parsed(docs, sheet, reader=READERS[source]))
-    found = markup.parser_diagnostics(parsed).unionByName(checks.analyze(markup.nodes(parsed), parsed.select("doc_id", "length"), sheet))
+    found = checks.of_documents(docs, sheet, READERS[source], parser=True)
     return diagnostics.apply_lint(found, lint or {})
 
 
