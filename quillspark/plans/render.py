@@ -19,14 +19,28 @@ FORMATS = {"usfm": writers.to_markup, "usx": writers.to_usx, "json": writers.to_
 READERS = {"usfm": parse, "usx": read_usx}
 
 
-def per_text(docs: DataFrame, function, out: str = "value") -> DataFrame:
-    """(doc_id, out) of a function of one text, over Arrow batches."""
+def _in_parts(function, out: str):
+    """Arrow batches of (doc_id, out) of batches of (doc_id, text), as many as their size asks
+    for: a batch of the engine has ten thousand texts."""
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), pa.array([function(t or "") for t in b.column(1).to_pylist()], pa.string())], names=["doc_id", out])
+            ids, texts = b.column(0).cast(pa.string()), b.column(1)
+            first, size, made = 0, 0, []
+            for i in range(b.num_rows):
+                t = texts[i].as_py() or ""
+                made.append(function(t))
+                size += len(t) + len(made[-1] or "")
+                if size >= markup.CHARACTERS or i + 1 == b.num_rows:
+                    yield pa.RecordBatch.from_arrays([ids[first : i + 1], pa.array(made, pa.string())], names=["doc_id", out])
+                    first, size, made = i + 1, 0, []
+
+    return run
 
-    return markup.dealt(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id string, {out} string")
+
+def per_text(docs: DataFrame, function, out: str = "value") -> DataFrame:
+    """(doc_id, out) of a function of one text, over Arrow batches."""
+    return markup.dealt(docs.select("doc_id", "text")).mapInArrow(_in_parts(function, out), f"doc_id string, {out} string")
 
 
 def render(docs: DataFrame, form: str, source: str = "usfm", sheet: Sheet | None = None, rules: str | None = None) -> DataFrame:
