@@ -6,19 +6,24 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import walks
 from ..functions.citations import BookNames, CitationFormat, parse_citations, parse_link
+from ..functions.style import Sheet
+from ..sources import markup
 from .text import plain
 
-_PLACE = "book string, chapter long, verse long, part string, end_chapter long, end_verse long, end_part string, at_start int, at_end int"
-_ITEM = pa.struct([("book", pa.string()), ("chapter", pa.int64()), ("verse", pa.int64()), ("part", pa.string()), ("end_chapter", pa.int64()), ("end_verse", pa.int64()), ("end_part", pa.string()), ("at_start", pa.int32()), ("at_end", pa.int32())])
+_CITATION = pa.schema(
+    [("doc_id", pa.string()), ("seq", pa.int32()), ("ord", pa.int32()), ("linked", pa.bool_()), ("book", pa.string()), ("chapter", pa.int64()), ("verse", pa.int64()), ("part", pa.string())]
+    + [("end_chapter", pa.int64()), ("end_verse", pa.int64()), ("end_part", pa.string()), ("at_start", pa.int32()), ("at_end", pa.int32())]
+)
+_STYLED = pa.schema(
+    [("seq", pa.int32()), ("text", pa.string()), ("attributes", pa.list_(markup.ATTRIBUTE)), ("book", pa.string()), ("chapter", pa.string()), ("span_start", pa.int64()), ("span_end", pa.int64()), ("noted", pa.bool_())]
+)
 
 
-def _rows(found) -> list[dict]:
-    out = []
-    for c in found:
-        e = c.end
-        out.append({"book": c.book, "chapter": c.start.chapter, "verse": c.start.verse, "part": c.start.part, "end_chapter": e and e.chapter, "end_verse": e and e.verse, "end_part": e and e.part, "at_start": c.at[0], "at_end": c.at[1]})
-    return out
+def styled_text_of(docs: DataFrame, marker: str, sheet: Sheet | None = None) -> DataFrame:
+    """``styled_text`` of (doc_id, text) in one pass without a shuffle."""
+    return markup.walked(docs, lambda doc: walks.styled_text(doc, marker), _STYLED, sheet)
 
 
 #: The columns of the node table that this module reads.
@@ -50,19 +55,34 @@ def _named(attribute: str) -> Column:
 def cross_references(nodes: DataFrame, form: CitationFormat | None = None, names: BookNames | None = None) -> DataFrame:
     """Citations of every \\xt: doc_id, seq, ord, linked, then the citation. A link target that
     parses takes the place of the text."""
-    rows = styled_text(nodes, "xt").select("doc_id", "seq", "book", "text", _named("link-href").alias("href"))
+    return citations(styled_text(nodes, "xt"), form, names)
+
+
+def citations(styled: DataFrame, form: CitationFormat | None = None, names: BookNames | None = None) -> DataFrame:
+    """``cross_references`` of rows of ``styled_text``."""
+    rows = styled.select("doc_id", "seq", "book", "text", _named("link-href").alias("href"))
 
     def run(batches):
+        out: list[tuple] = []
+
+        def taken():
+            part = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _CITATION)], schema=_CITATION)
+            out.clear()
+            return part
+
         for b in batches:
-            out = []
             for i, s, book, text, href in zip(*(c.to_pylist() for c in b.columns)):
                 link = parse_link(href) if href is not None else None
                 found = link if link is not None else parse_citations(text, form, names, book)
-                out.append({"doc_id": i, "seq": s, "linked": link is not None, "found": _rows(found)})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("doc_id", pa.string()), ("seq", pa.int32()), ("linked", pa.bool_()), ("found", pa.list_(_ITEM))]))
+                for k, c in enumerate(found):
+                    e = c.end
+                    out.append((i, s, k, link is not None, c.book, c.start.chapter, c.start.verse, c.start.part, e and e.chapter, e and e.verse, e and e.part, c.at[0], c.at[1]))
+                if len(out) >= markup.ROWS:
+                    yield taken()
+        if out:
+            yield taken()
 
-    got = rows.mapInArrow(run, f"doc_id string, seq int, linked boolean, found array<struct<{_PLACE.replace(' ', ':').replace(',:', ',')}>>")
-    return got.select("doc_id", "seq", "linked", F.posexplode("found").alias("ord", "c")).select("doc_id", "seq", "ord", "linked", "c.*")
+    return rows.mapInArrow(run, ", ".join(f"{f.name} {markup._ddl(f.type)}" for f in _CITATION))
 
 
 def normal_term(term: Column) -> Column:
@@ -72,7 +92,12 @@ def normal_term(term: Column) -> Column:
 def glossary(nodes: DataFrame) -> DataFrame:
     """Entries (\\k): doc_id, seq, term, normal, book, chapter, nth (1 is the entry that
     counts, more are repeats); documents are in the order of their ids."""
-    k = styled_text(nodes, "k").select("doc_id", "seq", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("term"), normal_term(F.col("text")).alias("normal"), "book", "chapter", "span_start", "span_end").where("normal <> ''")
+    return entries(styled_text(nodes, "k"))
+
+
+def entries(styled: DataFrame) -> DataFrame:
+    """``glossary`` of rows of ``styled_text``."""
+    k = styled.select("doc_id", "seq", F.trim(F.regexp_replace("text", r"(?U)\s+", " ")).alias("term"), normal_term(F.col("text")).alias("normal"), "book", "chapter", "span_start", "span_end").where("normal <> ''")
     return k.withColumn("nth", F.row_number().over(Window.partitionBy("normal").orderBy("doc_id", "seq")))
 
 
@@ -87,8 +112,13 @@ def glossary_words(nodes: DataFrame, entries: DataFrame) -> DataFrame:
     """Words (\\w) with their entry, null where unresolved. The lemma counts if it isn't blank,
     else the text. A plain equi-join, as a glossary can be large: the engine broadcasts it where
     it measures it as small, and splits a frequent word's partition where it doesn't."""
+    return resolved(styled_text(nodes, "w"), entries)
+
+
+def resolved(styled: DataFrame, entries: DataFrame) -> DataFrame:
+    """``glossary_words`` of rows of ``styled_text``."""
     lemma = _named("lemma")
-    w = styled_text(nodes, "w").withColumn("term", F.when(F.trim(F.regexp_replace(lemma, r"(?U)\s+", " ")) != "", lemma).otherwise(F.col("text"))).select("doc_id", "seq", F.trim(F.regexp_replace("term", r"(?U)\s+", " ")).alias("term"), normal_term(F.col("term")).alias("normal"), "span_start", "span_end")
+    w = styled.withColumn("term", F.when(F.trim(F.regexp_replace(lemma, r"(?U)\s+", " ")) != "", lemma).otherwise(F.col("text"))).select("doc_id", "seq", F.trim(F.regexp_replace("term", r"(?U)\s+", " ")).alias("term"), normal_term(F.col("term")).alias("normal"), "span_start", "span_end")
     return w.join(first_entries(entries), "normal", "left")
 
 

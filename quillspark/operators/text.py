@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.style import Sheet, sheet_table
+from ..functions import walks
+from ..functions.style import Sheet, default_sheet, sheet_table
+from ..sources import markup
 
 #: The columns of the node table that texts and sections are made of.
 FIELDS = ("seq", "kind", "content", "para", "note", "chars", "block", "direct")
@@ -42,6 +45,11 @@ def document_text(nodes: DataFrame, notes: bool = False, keep_para: Column | Non
     return nodes.groupBy("doc_id").agg(plain(parts, separator).alias("text"))
 
 
+def document_text_of(docs: DataFrame, sheet: Sheet | None = None) -> DataFrame:
+    """``document_text`` of (doc_id, text) in one pass without a shuffle."""
+    return markup.walked(docs, walks.document_text, pa.schema([("text", pa.string())]), sheet)
+
+
 def cut(text: Column) -> Column:
     """Sections of a text, blanks included: a cut after a run of punctuation, or before it
     when it opens a quotation or bracket at the start or after white space."""
@@ -76,6 +84,12 @@ def document_sections(nodes: DataFrame, sheet: Sheet | None = None) -> DataFrame
     return found.select("doc_id", (F.row_number().over(w) - 1).cast("long").alias("ord"), "section")
 
 
+def document_sections_of(docs: DataFrame, sheet: Sheet | None = None) -> DataFrame:
+    """``document_sections`` of (doc_id, text) in one pass without a shuffle."""
+    kept = frozenset(s.marker for s in (sheet or default_sheet()).styles.values() if s.kind == "paragraph" and s.vernacular)
+    return markup.walked(docs, lambda doc: walks.sections(doc, kept), pa.schema([("ord", pa.int64()), ("section", pa.string())]), sheet)
+
+
 def woven(left: DataFrame, right: DataFrame) -> DataFrame:
     """Sections of two documents side by side, to the end of the shorter: doc_id, ord, left, right."""
     return left.withColumnRenamed("section", "left").join(right.withColumnRenamed("section", "right"), ["doc_id", "ord"])

@@ -50,3 +50,44 @@ def _counted(rows) -> dict:
     for r in rows:
         out[r] = out.get(r, 0) + 1
     return out
+
+
+def test_walks_give_what_the_tables_give(spark):
+    from quillspark.operators import index, references, text
+
+    more = ["Word. \"Quote\" ", " ", " “a” ", "\\p \\k Term \\k* is\n", '\\p \\w x\\+w y\\+w*|lemma="z"\\w* ', "\\xt GEN 1:1\\xt* "]
+    rnd = random.Random(11)
+    docs = [(f"d{k}", "\\id GEN\n\\c 1\n\\p " * (k % 3 > 0) + "".join(rnd.choice(PIECES + _MORE + more) for _ in range(rnd.randrange(60)))) for k in range(200)] + [("e", "")]
+    docs = spark.createDataFrame(docs, "doc_id string, text string").repartition(4).localCheckpoint()
+    nodes = markup.nodes(markup.parsed(docs)).localCheckpoint()
+    for of_tables, of_walks in (
+        (index.verse_text(nodes), index.verse_text_of(docs)), (text.document_text(nodes), text.document_text_of(docs)), (text.document_sections(nodes), text.document_sections_of(docs)),
+        *((references.styled_text(nodes, m), references.styled_text_of(docs, m)) for m in ("k", "w", "xt")),
+    ):
+        a, b = (sorted(map(str, t.select(of_walks.columns).collect())) for t in (of_tables, of_walks))
+        assert a == b and a
+
+
+def test_plain_verses_are_read_as_one_by_one(monkeypatch):
+    from quillspark.functions import parser
+    from quillspark.functions.writers import same
+
+    rnd = random.Random(3)
+    more = ["\\v 3", "\\v 4 \\va 5\\va* ", "\\v 5\n \\vp q\\vp*", "\\v 01 x", "\\v 7a-9b y", "\\v 8/ ", "\\v 9// x ", " \t ", "\\+v 3 ", "\\v  12   z", "\\v 6*x ", "\\v 5,7 w", "\\v* "]
+    texts = ["".join(rnd.choice(PIECES + more) for _ in range(rnd.randrange(30))) for _ in range(2000)]
+    fast = [parser.parse(t) for t in texts]
+    monkeypatch.setattr(parser.Parser, "plain_verses", lambda self, ctx: False)
+    for t, a in zip(texts, fast):
+        b = parser.parse(t)
+        assert same(a.blocks, b.blocks) and a.diagnostics == b.diagnostics, t
+
+
+def test_texts_are_made_in_parts():
+    import pyarrow as pa
+
+    from quillspark.plans import render
+
+    batch = pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(40)]), pa.array(["x" * 400_000] * 39 + [None])], names=["doc_id", "text"])
+    parts = list(render._in_parts(lambda t: t + "y", "value")(iter([batch])))
+    assert len(parts) > 5 and [i for p in parts for i in p.column(0).to_pylist()] == [str(k) for k in range(40)]
+    assert [len(v) for p in parts for v in p.column(1).to_pylist()] == [400_001] * 39 + [1]
