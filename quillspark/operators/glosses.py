@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from array import array
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.interlinear import Cluster, Lexicon, ProjectError, Verse, anchor, read_interlinear, read_lexicon
+from ..functions.interlinear import Cluster, Lexicon, ProjectError, Verse, anchor, read_lexicon, scan_interlinear
 from ..plans.stored import materialize
+from ..sources.markup import ROWS
 
 CLUSTERS = "reference string, ord int, chapter long, verse long, approved boolean, clusters array<struct<index:int,length:int,excluded:boolean,lexemes:array<struct<id:string,sense:string>>>>"
 
@@ -28,20 +32,54 @@ def read_verses(files: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            texts = b.column(1)
+            for i, ident in enumerate(b.column(0).to_pylist()):
+                text = texts[i].as_buffer()
                 try:
-                    found = read_interlinear(t or "")[1]
+                    yield from _verse_batches(ident, text.to_pybytes() if text is not None else b"")
                 except ProjectError:
                     continue
-                for k, v in enumerate(found):
-                    clusters = [{"index": c.index, "length": c.length, "excluded": c.excluded, "lexemes": [{"id": x, "sense": y} for x, y in c.lexemes]} for c in v.clusters]
-                    rows.append({"doc_id": i, "reference": v.reference, "ord": k, "chapter": v.place and v.place[0], "verse": v.place and v.place[1], "approved": v.approved is not None, "clusters": clusters})
-            yield pa.RecordBatch.from_pylist(rows, schema=_VERSE)
 
     return files.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(run, "doc_id string, " + CLUSTERS)
 
 
+def _verse_batches(ident: str | None, xml: bytes) -> list[pa.RecordBatch]:
+    """The rows of a file, as Arrow batches while it is read: nothing may leave before its end,
+    and of a verse given twice the last row stays with the place of the first."""
+    parts: list[pa.RecordBatch] = []
+    rows: list[tuple] = []
+    places: dict[str, int] = {}
+    last, n = array("q"), 0  # by place, the number of the row that counts
+
+    def pack() -> None:
+        parts.append(pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _VERSE)], schema=_VERSE))
+        rows.clear()
+
+    def found(v: Verse) -> None:
+        nonlocal n
+        at = places.setdefault(v.reference, len(places))
+        if at == len(last):
+            last.append(n)
+        else:
+            last[at] = n
+        n += 1
+        clusters = [{"index": c.index, "length": c.length, "excluded": c.excluded, "lexemes": [{"id": x, "sense": y} for x, y in c.lexemes]} for c in v.clusters]
+        place = v.place
+        rows.append((ident, v.reference, at, place and place[0], place and place[1], v.approved is not None, clusters))
+        if len(rows) >= ROWS:
+            pack()
+
+    scan_interlinear(xml, found)
+    if rows:
+        pack()
+    if len(places) < n:
+        kept = np.zeros(n, bool)
+        kept[np.frombuffer(last, np.int64)] = True
+        ends = np.cumsum([0, *(p.num_rows for p in parts)])
+        parts = [p.filter(pa.array(kept[a:z])) for p, a, z in zip(parts, ends, ends[1:])]
+    return parts
+
+
 def read_lexicons(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """entries(kind, form, homograph, entry) and glosses(entry, sense_no, sense, language, gloss)
     of lexicon files (doc_id, text); ``entry`` is a hash of the file and the place in it."""

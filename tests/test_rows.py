@@ -91,3 +91,24 @@ def test_texts_are_made_in_parts():
     parts = list(render._in_parts(lambda t: t + "y", "value")(iter([batch])))
     assert len(parts) > 5 and [i for p in parts for i in p.column(0).to_pylist()] == [str(k) for k in range(40)]
     assert [len(v) for p in parts for v in p.column(1).to_pylist()] == [400_001] * 39 + [1]
+
+
+def test_interlinear_files_are_read_verse_by_verse(monkeypatch):
+    from quillspark.functions.interlinear import ProjectError, read_interlinear
+    from quillspark.functions.usx import read_xml
+    from quillspark.operators import glosses
+
+    item = lambda v, w: f'<item><string>GEN 1:{v}</string><VerseData Hash="h"><Cluster><Range Index="0" Length="1"/><Lexeme Id="Word:{w}"/></Cluster></VerseData></item>'
+    xml = "<InterlinearData><Verses>" + "".join(item(v, "a") for v in range(50)) + item(3, "b") + item(60, "c") + "</Verses></InterlinearData>"
+    top, _ = read_xml(xml, lambda e, above: e.name == "item")
+    assert top.children[0].children == []
+    monkeypatch.setattr(glosses, "ROWS", 8)
+    parts = glosses._verse_batches("f", xml.encode())
+    assert len(parts) > 5  # one batch had a file's verses, and all its elements before
+    rows = sorted((r["ord"], r["reference"], r["clusters"][0]["lexemes"][0]["id"]) for p in parts for r in p.to_pylist())
+    assert rows == [(i, v.reference, v.clusters[0].lexemes[0][0]) for i, v in enumerate(read_interlinear(xml)[1])] and rows[3][2] == "Word:b" and len(rows) == 51
+    for bad in (xml[:-5], xml.replace("InterlinearData", "Other"), xml.replace('Length="1"', 'Length="x"')):
+        try:
+            assert not glosses._verse_batches("f", bad.encode())
+        except ProjectError:
+            pass
