@@ -63,6 +63,13 @@ def parse_numbers(text: str) -> tuple[Range, ...] | None:
         at = m.end()
 
 
+@lru_cache(maxsize=1 << 15)
+def numbers(text: str) -> tuple[tuple[Range, ...], str] | None:
+    """A list of numbers and how it is shown."""
+    found = parse_numbers(text)
+    return (found, show_numbers(found)) if found is not None else None
+
+
 @lru_cache(maxsize=1 << 15)
 def show_numbers(ranges: tuple[Range, ...]) -> str:
     return ",".join(map(str, ranges))

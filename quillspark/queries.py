@@ -251,7 +251,8 @@ def round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     def check(t: str) -> str:
         doc = parse(t)
         out = writers.to_markup(doc)
-        same = writers.same(doc.blocks, parse(out).blocks) and writers.to_markup(parse(out)) == out
+        again = parse(out)
+        same = writers.same(doc.blocks, again.blocks) and writers.to_markup(again) == out
         back = usx.read_usx(writers.to_usx(doc))
         plain = lambda bs: [b for b in bs if b.marker != "usfm"]
         return f"{same} {writers.same(plain([writers.normalised(b, doc.sheet) for b in doc.blocks]), plain(back.blocks))}"
